@@ -55,7 +55,7 @@ def p08(spark, sf):
     return part.agg(F.count("*").alias("n")).filter("n > 0").select(F.inline(seen))
 
 
-@query("P09_cast_cols", "select o_orderkey::varchar as key_text, o_totalprice::bigint as price_up, "
+@query("P09_cast_cols", "select o_orderkey::varchar as key_text, round(o_totalprice)::bigint as price_up, "
        "try_cast(o_orderpriority as bigint) as bad, trunc(o_totalprice)::bigint as price_int from orders")
 def p09(spark, sf):
     df = table(spark, sf, "orders").select(

@@ -167,7 +167,7 @@ def u02(spark, sf):
                          table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
 
 
-@query("U03_set_difference", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("U03_set_difference", "select o_orderkey, o_totalprice from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def u03(spark, sf):
-    return rel.set_difference(table(spark, sf, "customer").select("c_custkey", "c_name"),
-                              table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return rel.set_difference(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"),
+                              table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
