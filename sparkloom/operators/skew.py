@@ -59,4 +59,11 @@ def dimension_join(fact: DataFrame, dim: DataFrame, on: list[str] | str,
     cold = tagged.filter(F.col("__hot").isNull()).drop("__hot").join(dim, on, how)
     warm_dim = dim.join(F.broadcast(hot), on, "left_semi")
     warm = tagged.filter(F.col("__hot")).drop("__hot").join(F.broadcast(warm_dim), on, how)
+    if how == "left":
+        # Null keys match nothing and would all land in one partition of a shuffle join.
+        lost = F.lit(False)
+        for c in on:
+            lost = lost | F.col(c).isNull()
+        rest = fact.filter(lost).join(F.broadcast(dim.limit(0)), on, "left")
+        return cold.filter(~lost).unionByName(warm).unionByName(rest)
     return cold.unionByName(warm)
