@@ -126,26 +126,34 @@ def next_known(df: DataFrame, cols: list[str], order_by: list[str],
                         for c in df.columns])
 
 
+def with_blocks(df: DataFrame, order_by: list[str], partition_by: list[str], reach: int,
+                block_rows: int = 250_000) -> DataFrame:
+    """Cut groups into blocks of ``block_rows`` rows; the last ``reach`` rows of a block also lead the next.
+
+    Adds ``__rn``, ``__block`` (where the row is) and ``__home`` (where it belongs).
+    """
+    block_rows = max(block_rows, reach)
+    ranked = with_ordinal(df, list(order_by), list(partition_by), name="__rn")
+    home = F.floor((F.col("__rn") - 1) / block_rows)
+    spill = F.pmod(F.col("__rn") - 1, F.lit(block_rows)) >= block_rows - reach
+    return (ranked.withColumn("__home", home)
+            .withColumn("__block", F.explode(F.when(spill, F.array(home, home + 1)).otherwise(F.array(home)))))
+
+
 def frame_windows(df: DataFrame, build, order_by: list[str], partition_by: list[str] = (),
                   reach: int = 1, calendar: bool = False, block_rows: int = 250_000) -> DataFrame:
     """Apply window columns that look back at most ``reach`` rows.
 
     ``build(window)`` returns ``{name: Column}``. With ``calendar`` the caller
     states that the order column is a calendar period, unique per group, so the
-    calendar bounds every group and a plain window is right. Otherwise groups
-    are cut into blocks of ``block_rows`` rows, and the last ``reach`` rows of a
-    block are also sent to the following one.
+    calendar bounds every group and a plain window is right. Otherwise each
+    window runs inside a block and the rows lent from the block before.
     """
     order_by, partition_by = list(order_by), list(partition_by)
     if calendar:
         w = Window.partitionBy(*partition_by).orderBy(*order_by)
         return df.select("*", *[c.alias(n) for n, c in build(w).items()])
-    block_rows = max(block_rows, reach)
-    ranked = with_ordinal(df, order_by, partition_by, name="__rn")
-    home = F.floor((F.col("__rn") - 1) / block_rows)
-    spill = F.pmod(F.col("__rn") - 1, F.lit(block_rows)) >= block_rows - reach
-    blocks = (ranked.withColumn("__home", home)
-              .withColumn("__block", F.explode(F.when(spill, F.array(home, home + 1)).otherwise(F.array(home)))))
+    blocks = with_blocks(df, order_by, partition_by, reach, block_rows)
     w = Window.partitionBy(*partition_by, "__block").orderBy("__rn")
     out = blocks.select("*", *[c.alias(n) for n, c in build(w).items()])
     return out.filter(F.col("__block") == F.col("__home")).drop("__rn", "__home", "__block")
