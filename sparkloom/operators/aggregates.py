@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.operators.ordered import running_sums
 from sparkloom.operators.skew import dimension_join
+from sparkloom.runtime import cut_lineage
 
 
 def melt(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -23,22 +24,24 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     Equal values are counted first, so a value holding a third of all rows is
     one row from then on; the cumulative count is taken over range buckets.
     """
-    counts = (melt(df, cols).filter("value is not null").groupBy("column_name", "value")
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    cum = running_sums(counts, {"cum": F.col("cnt")}, ["value"], ["column_name"])
-    sizes = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    ranked = dimension_join(cum, sizes, "column_name")
-    spots = ranked.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    at = (F.col("n") - 1) * F.col("p")
-    lo, hi = F.floor(at), F.ceil(at)
+    counts = cut_lineage(melt(df, cols).filter("value is not null").groupBy("column_name", "value")
+                         .agg(F.count(F.lit(1)).alias("cnt")))
+    cum = running_sums(counts, {"cum": F.col("cnt")}, ["value"], ["column_name"], totals={"cum": "n"})
 
     def inside(rank: Column) -> Column:
         return (rank + 1 <= F.col("cum")) & (rank + 1 > F.col("cum") - F.col("cnt"))
 
-    hits = spots.filter(inside(lo) | inside(hi))
+    def ends(p: Column) -> tuple[Column, Column]:
+        return F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p)
+
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    near = F.filter(asked, lambda p: inside(ends(p)[0]) | inside(ends(p)[1]))
+    hits = cum.filter(F.size(near) > 0).select("*", F.explode(near).alias("p"))
+    lo, hi = ends(F.col("p"))
     return hits.groupBy("column_name", "p").agg(
         F.max(F.when(inside(lo), F.col("value"))).alias("a"), F.max(F.when(inside(hi), F.col("value"))).alias("b"),
-        F.max(at - lo).alias("w")).select("column_name", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+        F.max((F.col("n") - 1) * F.col("p") - lo).alias("w")).select(
+        "column_name", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
 
 
 def describe_table(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
@@ -95,14 +98,14 @@ def collapse_rare(df: DataFrame, col: str, max_count: int, other: str = "OTHER")
     """Categories seen at most ``max_count`` times become ``other``."""
     kept = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_count) \
         .select(col, F.lit(True).alias("__keep"))
-    return dimension_join(df, kept, col, "left") \
+    return dimension_join(df, kept, col, "left", derived=True) \
         .withColumn(col, F.when(F.col("__keep"), F.col(col)).otherwise(F.lit(other))).drop("__keep")
 
 
 def filter_frequent(df: DataFrame, col: str, min_count: int) -> DataFrame:
     """Rows whose category is seen more than ``min_count`` times."""
     kept = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > min_count).select(col)
-    return dimension_join(df, kept, col)
+    return dimension_join(df, kept, col, derived=True)
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,7 +127,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     edges = src.groupBy(key).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     slot = F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))
-    out = (dimension_join(src, edges, key)
+    out = (dimension_join(src, edges, key, derived=True)
            .withColumn("bin", F.when(width > 0, slot).otherwise(F.lit(0)).cast("int"))
            .groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"))
            .withColumn("left_edge", F.col("__lo") + F.col("bin") * width).drop("__lo", "__hi"))
@@ -154,14 +157,17 @@ def resample(df: DataFrame, ts: str, freq: str, value: Column, keys: list[str] =
     ``value`` is an aggregate such as ``F.sum("x")``. Each key has one row per
     period, so the calendar bounds the length of its series.
     """
-    from sparkloom.sources.files import date_spine
     keys = list(keys)
-    sums = df.groupBy(*keys, period_start(F.col(ts), freq).alias("period")).agg(value.alias(name))
-    bounds = sums.groupBy(*keys).agg(F.min("period").alias("__a"), F.max("period").alias("__b"))
-    step = {"D": "D", "M": "MS", "Y": "YS"}[freq]
-    spine = date_spine(bounds, "__a", "__b", step, "period")
-    out = spine.join(sums, [*keys, "period"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
-    return out.withColumn("period", period_end(F.col("period"), freq)) if label == "end" else out
+    sums = df.groupBy(*keys, period_start(F.col(ts), freq).alias("__p")).agg(value.alias("__v"))
+    months = {"M": 1, "Q": 3, "Y": 12}.get(freq)
+    # Each period also writes the empty ones up to the next: no spine join, one pass over the rows.
+    following = F.lead("__p").over(Window.partitionBy(*keys).orderBy("__p"))
+    last = F.coalesce(F.date_sub(following, 1), F.col("__p"))
+    step = F.expr(f"interval {months} months" if months else "interval 1 day")
+    runs = sums.withColumn("__last", last).select("*", F.explode(F.sequence(F.col("__p"), F.col("__last"), step)).alias("period"))
+    shown = F.col("period") if label == "start" else period_end(F.col("period"), freq)
+    filled = F.when(F.col("period") == F.col("__p"), F.coalesce("__v", F.lit(fill))).otherwise(F.lit(fill))
+    return runs.select(*keys, shown.alias("period"), filled.alias(name))
 
 
 def epoch_rollup(df: DataFrame, epoch: str = "epoch", step: str = "step", metrics: list[str] = ("train_loss", "train_acc")) -> DataFrame:

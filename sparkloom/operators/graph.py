@@ -20,14 +20,14 @@ def all_paths(edges: DataFrame, src: str, dst: str, max_hops: int) -> DataFrame:
     far = e.select(F.col("dst").alias("v")).filter(F.col("v") == dst).distinct().withColumn("left", F.lit(0))
     known = front = cut_lineage(far)
     for step in range(1, max_hops):
-        front = e.join(front.select(F.col("v").alias("dst")), "dst").select(F.col("src").alias("v")).distinct() \
+        front = dimension_join(e, front.select(F.col("v").alias("dst")), "dst").select(F.col("src").alias("v")).distinct() \
             .join(known.select("v"), "v", "left_anti").withColumn("left", F.lit(step))
         front = cut_lineage(front)
         if front.isEmpty():
             break
         known = cut_lineage(known.unionByName(front))
     # Edges that lead towards the goal, each with the hops still needed behind it.
-    useful = cut_lineage(e.join(known.withColumnRenamed("v", "dst"), "dst").select("src", "dst", "left"))
+    useful = cut_lineage(dimension_join(e, known.withColumnRenamed("v", "dst"), "dst").select("src", "dst", "left"))
     paths = e.limit(1).select(F.lit(0).alias("hops"), F.array(F.lit(src)).alias("path"))
     found = None
     for hop in range(1, max_hops + 1):
@@ -74,19 +74,19 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         color = cut_lineage(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().withColumn("c", F.col("v")))
         while True:
-            sent = e.join(color.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
+            sent = dimension_join(e, color.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
             new = cut_lineage(color.join(sent, "v", "left").select(
                 "v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
             color = new.drop("moved")
             if new.filter("moved").isEmpty():
                 break
         # Only edges within one colour can close a cycle.
-        same = e.join(color.withColumnsRenamed({"v": "src", "c": "c1"}), "src") \
-            .join(color.withColumnsRenamed({"v": "dst", "c": "c2"}), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
+        same = dimension_join(dimension_join(e, color.withColumnsRenamed({"v": "src", "c": "c1"}), "src"),
+                              color.withColumnsRenamed({"v": "dst", "c": "c2"}), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
         same = cut_lineage(same)
         members = front = cut_lineage(color.filter("v = c"))
         while not front.isEmpty():
-            front = same.join(front.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct() \
+            front = dimension_join(same, front.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct() \
                 .join(members, ["v", "c"], "left_anti")
             front = cut_lineage(front)
             members = cut_lineage(members.unionByName(front))

@@ -15,22 +15,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 20
 
 
 def _bounds(df: DataFrame, keys: list[str], buckets: int | None) -> list:
-    """Sampled split points; they decide balance only, never results."""
-    slim = df.select(*keys)
-    n = slim.count()
+    """Split points from a uniform sample; they decide balance only, never results.
+
+    One pass over the keys: rows fall into hash classes, and each class counts its
+    rows and keeps the one with the highest second hash.
+    """
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = buckets or max(4 * parallel, 64)
+    classes = most * SAMPLES_PER_BUCKET
+    picked = (df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(classes)).alias("__class"))
+              .agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(*keys), F.xxhash64(F.lit(1), *keys)).alias("__k")))
+    rows = picked.orderBy("__k").collect()  # at most `classes` rows
     if buckets is None:
-        at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(MAX_BUCKETS, max(at_least, ceil(n / ROWS_PER_BUCKET)))
-    want = buckets * SAMPLES_PER_BUCKET
-    sample = slim if n <= want else slim.sample(fraction=want / n, seed=17)
-    rows = sample.orderBy(*keys).limit(2 * want).collect()
+        buckets = min(most, max(parallel, ceil(sum(r["__n"] for r in rows) / ROWS_PER_BUCKET)))
     step = max(1, len(rows) // buckets)
-    return rows[step::step][: buckets - 1]
+    return [r["__k"] for r in rows[step::step]][: buckets - 1]
 
 
 def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
@@ -77,10 +80,11 @@ def _attach(df: DataFrame, carry: DataFrame, cols: list[str], extra: list[str])
 
 def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
                  partition_by: list[str] = (), bucketed: bool = False,
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
     """Inclusive running sums per group, exact for groups of any size.
 
     With ``bucketed`` the frame already holds a ``__bucket`` monotone in the order.
+    ``totals`` names columns for the whole group's sum, e.g. ``{"rn": "n"}``.
     """
     order_by, partition_by = list(order_by), list(partition_by)
     base = df if bucketed else with_bucket(df, partition_by + order_by, buckets)
@@ -90,10 +94,12 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
     local = Window.partitionBy(*cell).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     rows = base.select("*", *[F.sum(t).over(local).alias(f"{t}_run") for t in temp])
     # One row per (group, bucket): the only table windowed by group alone.
-    totals = base.groupBy(*cell).agg(*[F.sum(t).alias(f"{t}_tot") for t in temp])
-    before = Window.partitionBy(*partition_by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp])
-    joined = _attach(rows, carry, cell, [f"{t}_off" for t in temp])
+    cells = base.groupBy(*cell).agg(*[F.sum(t).alias(f"{t}_tot") for t in temp])
+    group = Window.partitionBy(*partition_by)
+    before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(f"{t}_tot").over(group).alias(totals[name]) for t, (name, _) in temp.items() if name in (totals or {})]
+    carry = cells.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp], *whole)
+    joined = _attach(rows, carry, cell, [*[f"{t}_off" for t in temp], *(totals or {}).values()])
     for t, (name, _) in temp.items():
         joined = joined.withColumn(name, F.when(F.col(f"{t}_off").isNull(), F.col(f"{t}_run"))
                                    .when(F.col(f"{t}_run").isNull(), F.col(f"{t}_off"))
@@ -102,9 +108,23 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
 
 
 def with_ordinal(df: DataFrame, order_by: list[str], partition_by: list[str] = (),
-                 name: str = "rn", bucketed: bool = False, buckets: int | None = None) -> DataFrame:
-    """1-based row number in the order, overall or per group."""
-    return running_sums(df, {name: F.lit(1).cast("bigint")}, order_by, partition_by, bucketed, buckets)
+                 name: str = "rn", bucketed: bool = False, buckets: int | None = None,
+                 total: str | None = None) -> DataFrame:
+    """1-based row number in the order, overall or per group; ``total`` adds the group's size."""
+    return running_sums(df, {name: F.lit(1).cast("bigint")}, order_by, partition_by, bucketed, buckets,
+                        {name: total} if total else None)
+
+
+def nth_row(df: DataFrame, order_by: list[str], n: int, buckets: int | None = None) -> DataFrame:
+    """The row at 0-based position ``n``: buckets are counted, and only the one that holds it is sorted."""
+    base = with_bucket(df, order_by, buckets)
+    for r in base.groupBy(BUCKET).count().orderBy(BUCKET).collect():  # one row per bucket
+        if n < r["count"]:
+            inside = base.filter(F.col(BUCKET) == r[BUCKET])
+            w = Window.partitionBy(BUCKET).orderBy(*order_by)
+            return inside.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == n + 1).drop("__rn", BUCKET)
+        n -= r["count"]
+    return df.limit(0)
 
 
 def next_known(df: DataFrame, cols: list[str], order_by: list[str],

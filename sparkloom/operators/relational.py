@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sparkloom.operators.ordered import next_known, with_ordinal
+from sparkloom.operators.ordered import next_known, nth_row
 from sparkloom.operators.skew import dimension_join
+from sparkloom.runtime import cut_lineage
 
 KINDS = {
     "object": (T.StringType,),
@@ -174,6 +175,7 @@ def sourcing_budget(imports: DataFrame, manufactures: DataFrame, mode: str = "as
                                 F.col("price").alias("mc"), F.col(order_by).alias("pos"))
     first = keyed.groupBy("k").agg(F.min_by(F.struct("mq", "mc"), "pos").alias("m"), F.min("pos").alias("pos")) \
         .select("k", "m.mq", "m.mc", "pos")
+    first = cut_lineage(first)
     pairs = dimension_join(left, first.select("k", "mq", "mc"), "k", "left")
     below = F.col("mq") * F.col("iq") if mode == "as_coded" else F.col("mc") * F.col("iq")
     rest = F.abs(F.col("mq") - F.col("iq")) * F.col("ic")
@@ -182,8 +184,8 @@ def sourcing_budget(imports: DataFrame, manufactures: DataFrame, mode: str = "as
     paid = pairs.select(F.when(F.col("mq").isNull(), F.col("ic") * F.col("iq"))
                         .when(F.col("ic") > 0, make).otherwise(buy).alias("cost"))
     # A manufacture leaves the list when an import took it: the first of its name, if imported.
-    taken = dimension_join(first.select("k", "pos"), names.withColumn("__hit", F.lit(True)), "k", "inner")
-    spare = keyed.join(taken.select("k", "pos"), ["k", "pos"], "left_anti") \
+    taken = first.select("k", "pos").join(names, "k", "left_semi")
+    spare = keyed.join(taken, ["k", "pos"], "left_anti") \
         .select((F.col("mc") * F.col("mq")).alias("cost"))
     return paid.unionAll(spare).agg(F.sum("cost").alias("total_cost"))
 
@@ -208,7 +210,7 @@ def attach_response(pred: DataFrame, intents: DataFrame, key: str, seed: int = 0
     """
     sizes = intents.groupBy("intent").agg(F.count(F.lit(1)).alias("__n"))
     slot = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
-    picked = dimension_join(pred, sizes, "intent", "left").withColumn("pos", slot.cast("bigint") % F.col("__n"))
+    picked = dimension_join(pred, sizes, "intent", "left", derived=True).withColumn("pos", slot.cast("bigint") % F.col("__n"))
     return dimension_join(picked, intents, ["intent", "pos"], "left").drop("__n", "pos")
 
 
@@ -237,7 +239,7 @@ def top_n(df: DataFrame, value: str, n: int, tie: list[str] = ()) -> DataFrame:
 
 def row_at(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     """The row at 0-based position ``n`` of the order."""
-    return with_ordinal(df, order_by, name="__rn").filter(F.col("__rn") == n + 1).drop("__rn")
+    return nth_row(df, order_by, n)
 
 
 # ---- set operations ---------------------------------------------------------

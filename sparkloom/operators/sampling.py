@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkloom.operators.ordered import BUCKET, hash_bucket, with_ordinal
-from sparkloom.operators.skew import dimension_join
+from sparkloom.operators.ordered import BUCKET, hash_bucket, running_sums, with_ordinal
 
 
 def digest(key: str | list[str], seed: int) -> Column:
@@ -22,11 +21,13 @@ def unit_hash(key: str | list[str], seed: int) -> Column:
     return F.conv(F.substring(digest(key, seed), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def hash_ordinal(df: DataFrame, key: str | list[str], seed: int, by: list[str] = (), name: str = "__rn") -> DataFrame:
+def hash_ordinal(df: DataFrame, key: str | list[str], seed: int, by: list[str] = (), name: str = "__rn",
+                 total: str | None = None) -> DataFrame:
+    """Row number in digest order, overall or per group."""
     keys = [key] if isinstance(key, str) else key
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("__digest", digest(keys, seed)).withColumn(BUCKET, hash_bucket("__digest", buckets))
-    return with_ordinal(keyed, ["__digest", *keys], by, name, bucketed=True).drop("__digest")
+    return with_ordinal(keyed, ["__digest", *keys], by, name, bucketed=True, total=total).drop("__digest")
 
 
 def shuffle(df: DataFrame, key: str | list[str], seed: int) -> DataFrame:
@@ -53,8 +54,7 @@ def random_split(df: DataFrame, weights: dict[str, float], key: str | list[str],
 def stratified_split(df: DataFrame, label: str, frac: float, key: str | list[str], seed: int,
                      name: str = "split") -> DataFrame:
     """``frac`` of every class (rounded to whole rows) to test, the rest to train."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = dimension_join(hash_ordinal(df, key, seed, [label]), sizes, label)
+    ranked = hash_ordinal(df, key, seed, [label], total="__n")
     test = F.col("__rn") <= F.floor(F.col("__n") * F.lit(frac) + 0.5)
     return ranked.withColumn(name, F.when(test, "test").otherwise("train")).drop("__rn", "__n")
 
@@ -82,21 +82,19 @@ def band_split(df: DataFrame, sizes: dict[str, int], key: str | list[str], seed:
 def head_tail_split(df: DataFrame, order_by: list[str], ratio: float | None = None, tail: int | None = None,
                     name: str = "split") -> DataFrame:
     """First ``ratio`` of the rows (or all but the last ``tail``) to train, the rest to test."""
-    n = df.count()
-    cut = int(n * ratio) if ratio is not None else n - tail
-    ranked = with_ordinal(df, order_by, name="__rn")
-    return ranked.withColumn(name, F.when(F.col("__rn") <= cut, "train").otherwise("test")).drop("__rn")
+    ranked = with_ordinal(df, order_by, name="__rn", total="__n")
+    cut = F.floor(F.col("__n") * F.lit(ratio)) if ratio is not None else F.col("__n") - tail
+    return ranked.withColumn(name, F.when(F.col("__rn") <= cut, "train").otherwise("test")).drop("__rn", "__n")
 
 
 def block_kfold(df: DataFrame, order_by: list[str], k: int, name: str = "fold") -> DataFrame:
     """Contiguous blocks 1..k of equal size; the first ones take the remainder."""
-    n = df.count()
-    small, extra = divmod(n, k)
-    pos = F.col("__rn") - 1
+    pos, small, extra = F.col("__rn") - 1, F.floor(F.col("__n") / k), F.col("__n") % k
     edge = extra * (small + 1)
-    block = F.when(pos < edge, F.floor(pos / F.lit(small + 1))).otherwise(
-        extra + F.floor((pos - edge) / F.lit(max(small, 1))))
-    return with_ordinal(df, order_by, name="__rn").withColumn(name, (block + 1).cast("int")).drop("__rn")
+    block = F.when(pos < edge, F.floor(pos / (small + 1))).otherwise(
+        extra + F.floor((pos - edge) / F.greatest(small, F.lit(1))))
+    ranked = with_ordinal(df, order_by, name="__rn", total="__n")
+    return ranked.withColumn(name, (block + 1).cast("int")).drop("__rn", "__n")
 
 
 def user_holdout(df: DataFrame, user: str, order_by: list[str], start: int, stop: int, max_test: int = 0,
@@ -106,7 +104,6 @@ def user_holdout(df: DataFrame, user: str, order_by: list[str], start: int, stop
     pick = F.col("__rn").between(start, stop)
     if max_test <= 0:
         return ranked.withColumn(name, F.when(pick, "test").otherwise("base")).drop("__rn")
-    from sparkloom.operators.ordered import running_sums
     counted = running_sums(ranked.withColumn("__pick", pick.cast("bigint")), {"__seen": F.col("__pick")}, order_by)
     chosen = (F.col("__pick") == 1) & (F.col("__seen") <= max_test)
     return counted.withColumn(name, F.when(chosen, "test").otherwise("base")).drop("__rn", "__pick", "__seen")
@@ -114,7 +111,7 @@ def user_holdout(df: DataFrame, user: str, order_by: list[str], start: int, stop
 
 def batch_ids(df: DataFrame, order_by: list[str], size: int, drop_last: bool = False, name: str = "batch") -> DataFrame:
     """0-based batch number of every row; an incomplete last batch may be dropped."""
-    out = with_ordinal(df, order_by, name="__rn").withColumn(name, F.floor((F.col("__rn") - 1) / size)).drop("__rn")
-    if not drop_last:
-        return out
-    return out.filter(F.col(name) < F.lit(df.count() // size))
+    out = with_ordinal(df, order_by, name="__rn", total="__n").withColumn(name, F.floor((F.col("__rn") - 1) / size))
+    if drop_last:
+        out = out.filter(F.col(name) < F.floor(F.col("__n") / size))
+    return out.drop("__rn", "__n")

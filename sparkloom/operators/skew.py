@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from sparkloom.runtime import cut_lineage
+
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -43,14 +45,18 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001,
 def dimension_join(fact: DataFrame, dim: DataFrame, on: list[str] | str,
                    how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS,
                    max_bytes: int = MAX_BROADCAST_BYTES, hot_share: float = 0.001,
-                   hot_floor: int = 100_000) -> DataFrame:
+                   hot_floor: int = 100_000, derived: bool = False) -> DataFrame:
     """Join a fact to a dimension whose key is unique.
 
     A dimension measured to be small is broadcast, so the fact is not shuffled.
     Otherwise rows of hot keys meet the few dimension rows they need by a
     broadcast of proven size, and all other keys take the ordinary shuffle join.
+    ``derived`` dimensions (aggregates of a large table) are stored first, so that
+    measuring and joining them computes them once.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if derived:
+        dim = cut_lineage(dim)
     if fits_broadcast(dim, max_rows, max_bytes):
         return fact.join(F.broadcast(dim), on, how)
     hot = hot_keys(fact, on, hot_share, hot_floor)

@@ -80,8 +80,12 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
 
 def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, unk: int | None = None,
                   name: str = "ids") -> DataFrame:
-    """Token arrays to id arrays; a word without an id gets ``unk`` (or is left out when unk is None)."""
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+    """Token arrays to id arrays; a word without an id gets ``unk`` (or is left out when unk is None).
+
+    Texts are spread by key before they are taken apart, so putting the ids back
+    together needs no further shuffle.
+    """
+    flat = df.repartition(*key).select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
     known = dimension_join(flat, vocab.select("word", "id"), "word", "left")
     value = F.coalesce("id", F.lit(unk).cast("bigint")) if unk is not None else F.col("id")
     item = F.when(F.col("pos").isNotNull() & value.isNotNull(), F.struct("pos", value.alias("id")))
@@ -92,7 +96,7 @@ def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
 def decode_tokens(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, pad: int = 0, unknown: str = "<CLS>",
                   name: str = "tokens") -> DataFrame:
     """Id arrays to words: padding is dropped, an id without a word gives ``unknown``."""
-    flat = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    flat = df.repartition(*key).select(*key, F.posexplode_outer(ids).alias("pos", "id"))
     known = dimension_join(flat, vocab.select("id", "word"), "id", "left")
     kept = F.col("pos").isNotNull() & (F.col("id") != pad)
     item = F.when(kept, F.struct("pos", F.coalesce("word", F.lit(unknown)).alias("word")))
@@ -140,8 +144,8 @@ def encode_plus(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, ma
 
 def replace_words(df: DataFrame, key: list[str], tokens: str, mapping: DataFrame, name: str = "tokens") -> DataFrame:
     """Replace words by a (word, base) lookup; words without an entry stay."""
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
-    known = dimension_join(flat, mapping.select("word", "base"), "word", "left")
+    flat = df.repartition(*key).select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+    known = dimension_join(flat, mapping.select("word", "base"), "word", "left", derived=True)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("base", "word").alias("word")))
     packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
     return packed.select(*key, F.transform("__s", lambda s: s["word"]).alias(name))
@@ -194,9 +198,11 @@ def clean_text(df: DataFrame, key: list[str], col: str, stop_words: list[str], c
 def tfidf_vocab(df: DataFrame, key: str, tokens: str, min_df: int, max_df: float, max_features: int | None) -> DataFrame:
     """(term, idf): smooth idf of the terms within the document-frequency bounds."""
     n = df.count()
-    flat = df.select(key, F.explode(tokens).alias("term"))
-    per_doc = flat.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-    stats = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    # A document sends each of its terms once for df and every occurrence for the total; both are
+    # summed before the shuffle, so (term, document) pairs never travel.
+    marks = F.concat(F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("o"))),
+                     F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("o"))))
+    stats = df.select(F.inline(marks)).groupBy("term").agg(F.sum("d").alias("df"), F.sum("o").alias("total"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
         kept = kept.orderBy(F.col("total").desc(), "term").limit(max_features)

@@ -80,7 +80,7 @@ def adf_test(df: DataFrame, by: list[str], t: str, y: str, max_lag: int | None =
     The sums are kept apart by how many lags a row has, so that one pass serves
     both the common sample of the order search and the longer final sample.
     """
-    stats = df.groupBy(*by).agg(F.count(y).alias("__n"), F.avg(y).alias("__m"), F.stddev_pop(y).alias("__s"))
+    stats = cut_lineage(df.groupBy(*by).agg(F.count(y).alias("__n"), F.avg(y).alias("__m"), F.stddev_pop(y).alias("__s")))
     if max_lag is None:
         longest = stats.agg(F.max("__n")).first()[0] or 1
         max_lag = max(0, min(int(ceil(12 * (longest / 100) ** 0.25)), longest // 2 - 2))
@@ -146,14 +146,14 @@ def seasonal_decompose(df: DataFrame, by: list[str], t: str, y: str, period: int
     rows = frame_windows(df, build, [t], by, half, calendar=True)
     means = rows.groupBy(*by, "__phase").agg(F.avg(F.col(y) - F.col("trend")).alias("__s"))
     centred = means.withColumn("seasonal", F.col("__s") - F.avg("__s").over(Window.partitionBy(*by)))
-    out = dimension_join(rows, centred.drop("__s"), [*by, "__phase"])
+    out = dimension_join(rows, centred.drop("__s"), [*by, "__phase"], derived=True)
     return out.withColumn("resid", F.col(y) - F.col("trend") - F.col("seasonal")).drop("__phase")
 
 
 def acf(df: DataFrame, by: list[str], t: str, y: str, nlags: int, calendar: bool = True) -> DataFrame:
     """Autocorrelations for lags 0..nlags in long form."""
     mean = df.groupBy(*by).agg(F.avg(y).alias("__m"))
-    c = dimension_join(df.select(*by, t, y), mean, by).withColumn("__y", F.col(y) - F.col("__m"))
+    c = dimension_join(df.select(*by, t, y), mean, by, derived=True).withColumn("__y", F.col(y) - F.col("__m"))
     rows = _lags(c, "__y", by, t, nlags, calendar)
     sums = rows.groupBy(*by).agg(F.sum(F.col("__y") * F.col("__y")).alias("__v"), F.array(
         *[F.coalesce(F.sum(F.col("__y") * F.col(f"__l{i}")), F.lit(0.0)) for i in range(1, nlags + 1)]).alias("__c"))
@@ -379,16 +379,19 @@ def cutoff_bounds(df: DataFrame, by: list[str], ds: str, initial: int, period: i
     b = df.groupBy(*by).agg(F.min(F.to_date(ds)).alias("__lo"), F.max(F.to_date(ds)).alias("__hi"))
     last = F.date_sub("__hi", horizon)
     room = F.datediff(last, F.date_add("__lo", initial))
-    return b.select(*by, last.alias("__last"), (F.floor(room / period) + 1).cast("int").alias("__cuts")).filter("__cuts > 0")
+    cuts = (F.floor(room / period) + 1).cast("int")
+    return cut_lineage(b.select(*by, last.alias("__last"), cuts.alias("__cuts")).filter("__cuts > 0"))
 
 
-def rolling_origin(df: DataFrame, by: list[str], ds: str, initial: int, period: int, horizon: int) -> DataFrame:
+def rolling_origin(df: DataFrame, by: list[str], ds: str, initial: int, period: int, horizon: int,
+                   bounds: DataFrame | None = None) -> DataFrame:
     """Test rows of every origin: cutoff < ds <= cutoff + horizon.
 
     The cutoffs form a regular grid, so every row works out its own ones; no
     range join is needed.
     """
-    rows = dimension_join(df, cutoff_bounds(df, by, ds, initial, period, horizon), by)
+    bounds = bounds if bounds is not None else cutoff_bounds(df, by, ds, initial, period, horizon)
+    rows = dimension_join(df, bounds, by)
     back = F.datediff("__last", F.to_date(ds))
     # Cutoff j lies j * period days before the last one.
     lo = F.greatest(F.floor(back / period) + 1, F.lit(0)).cast("int")
@@ -398,13 +401,6 @@ def rolling_origin(df: DataFrame, by: list[str], ds: str, initial: int, period:
         .withColumn("cutoff", F.date_sub("__last", (F.col("__j") * period).cast("int"))).drop("__j", "__last", "__cuts")
 
 
-def _first_cutoff(df: DataFrame, by: list[str], ds: str, initial: int, period: int, horizon: int) -> DataFrame:
-    """Every training row with the earliest cutoff that may use it (the largest step back)."""
-    rows = dimension_join(df, cutoff_bounds(df, by, ds, initial, period, horizon), by)
-    j = F.least(F.floor(F.datediff("__last", F.to_date(ds)) / period), F.col("__cuts") - 1).cast("int")
-    return rows.withColumn("__j", j).filter("__j >= 0")
-
-
 def cross_validate(df: DataFrame, by: list[str], ds: str, y: str, initial: int = 1095, period: int = 180, horizon: int = 365,
                    forecaster: str = "naive", yearly: int = 3, weekly: int = 2, width: float = 1.28) -> DataFrame:
     """Rolling-origin forecasts: (by, ds, cutoff, y, yhat[, yhat_lower, yhat_upper]).
@@ -412,16 +408,20 @@ def cross_validate(df: DataFrame, by: list[str], ds: str, y: str, initial: int =
     Training state is summed per step between cutoffs and accumulated over the
     few cutoffs, so no row is copied once per cutoff.
     """
-    test = rolling_origin(df.select(*by, ds, y), by, ds, initial, period, horizon)
-    train = _first_cutoff(df.select(*by, ds, y), by, ds, initial, period, horizon)
+    slim = df.select(*by, ds, y)
+    bounds = cutoff_bounds(slim, by, ds, initial, period, horizon)
+    test = rolling_origin(slim, by, ds, initial, period, horizon, bounds)
+    # A training row counts from the earliest cutoff that may use it: the largest step back.
+    steps_back = F.least(F.floor(F.datediff("__last", F.to_date(ds)) / period), F.col("__cuts") - 1).cast("int")
+    train = dimension_join(slim, bounds, by).withColumn("__j", steps_back).filter("__j >= 0")
     upto = Window.partitionBy(*by).orderBy(F.col("__j").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    spine = cutoff_bounds(df, by, ds, initial, period, horizon).select(
+    spine = bounds.select(
         *by, "__last", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)).alias("__j"))
     cutoff = F.date_sub("__last", (F.col("__j") * period).cast("int")).alias("cutoff")
     if forecaster == "naive":
         step = train.groupBy(*by, "__j").agg(F.max_by(y, ds).alias("__v"))
         state = spine.join(step, [*by, "__j"], "left").select(*by, cutoff, F.last("__v", ignorenulls=True).over(upto).alias("yhat"))
-        return dimension_join(test, state, [*by, "cutoff"])
+        return dimension_join(test, state, [*by, "cutoff"], derived=True)
     if forecaster != "fourier":
         raise ValueError("forecaster is 'naive' or 'fourier'")
     x = fourier_terms(ds, F.lit(ORIGIN).cast("date"), yearly, weekly)

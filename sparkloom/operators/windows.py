@@ -51,7 +51,7 @@ def cumsum(df: DataFrame, col: str, by: list[str], order_by: list[str], name: st
 def first_value(df: DataFrame, col: str, by: list[str], order_by: list[str], name: str | None = None) -> DataFrame:
     """Every row beside the first value of its group."""
     heads = df.groupBy(*by).agg(F.min_by(col, F.struct(*order_by)).alias(name or f"{col}_first"))
-    return dimension_join(df, heads, by)
+    return dimension_join(df, heads, by, derived=True)
 
 
 def detrend(df: DataFrame, col: str, width: int, by: list[str], order_by: list[str], calendar: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from sparkloom.operators.aggregates import resample
 from sparkloom.operators.metrics import cv_metrics, regression_metrics, signed_sum_error
 from sparkloom.operators.windows import lag_col
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
+from sparkloom.runtime import cut_lineage
 
 KEY = ["priority"]
 
@@ -14,7 +15,8 @@ KEY = ["priority"]
 def series(spark, sf, freq="D"):
     """Order value per priority and calendar period, empty periods 0."""
     o = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "priority")
-    return resample(o, "o_orderdate", freq, F.sum("o_totalprice"), KEY, name="y", label="start").withColumnRenamed("period", "ds")
+    s = resample(o, "o_orderdate", freq, F.sum("o_totalprice"), KEY, name="y", label="start").withColumnRenamed("period", "ds")
+    return cut_lineage(s)  # calendar-sized: stored once for the passes of a fit
 
 
 def _spine(unit):
