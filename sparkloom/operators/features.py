@@ -14,7 +14,7 @@ from sparkloom.runtime import cut_lineage
 def label_classes(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct non-null values with ids 0..n-1."""
     values = df.select(F.col(col).alias("value")).filter("value is not null").distinct()
-    return with_ordinal(values, ["value"], name="id").withColumn("id", F.col("id") - 1)
+    return with_ordinal(values, ["value"], name="id", derived=True).withColumn("id", F.col("id") - 1)
 
 
 def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:

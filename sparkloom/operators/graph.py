@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -139,26 +141,33 @@ def detect_sequence(df: DataFrame, by: list[str], order_by: list[str], col: str,
             now = ends[states.index(now)]
         return pdf.assign(__first=first)[[*by, "__block", "__first"]]
 
-    long_keys = blocks.groupBy(*by).agg(F.max("__block").alias("__b")).filter("__b > 0").select(*by)
-    wide = dimension_join(blocks, cut_lineage(long_keys), by).groupBy(*by, "__block") \
-        .applyInPandas(summary, f"{keys}, __block bigint, __ends array<string>")
-    firsts = wide.groupBy(*by).applyInPandas(chain, f"{keys}, __block bigint, __first string")
-    ready = dimension_join(blocks, cut_lineage(firsts), [*by, "__block"], "left") \
-        .withColumn("__first", F.coalesce("__first", F.lit(start)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        state, out = pdf["__first"].iloc[0], []
-        for x in pdf[col].tolist():
-            nxt = moves.get((state, x))
-            out.append((nxt is not None, nxt is not None and nxt == state))
-            state = state if nxt is None else nxt
-            out[-1] = (state, *out[-1])
-        marks = pd.DataFrame(out, columns=["state", "matched", "overlap"], index=pdf.index)
-        return pd.concat([pdf[[*by, *order_by, col]], marks], axis=1)
+    long_keys = cut_lineage(blocks.groupBy(*by).agg(F.max("__block").alias("__b")).filter("__b > 0").select(*by))
+    if long_keys.isEmpty():
+        ready = blocks.withColumn("__first", F.lit(start))
+    else:
+        wide = dimension_join(blocks, long_keys, by).groupBy(*by, "__block") \
+            .applyInPandas(summary, f"{keys}, __block bigint, __ends array<string>")
+        firsts = wide.groupBy(*by).applyInPandas(chain, f"{keys}, __block bigint, __first string")
+        ready = dimension_join(blocks, firsts, [*by, "__block"], "left", derived=True) \
+            .withColumn("__first", F.coalesce("__first", F.lit(start)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by key and block; only the current state is held.
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for key, first, x in zip(zip(*[pdf[k] for k in [*by, "__block"]]), pdf["__first"], pdf[col].tolist()):
+                if key != now:
+                    now, state = key, first
+                nxt = moves.get((state, x))
+                out.append((state if nxt is None else nxt, nxt is not None, nxt is not None and nxt == state))
+                state = out[-1][0]
+            marks = pd.DataFrame(out, columns=["state", "matched", "overlap"], index=pdf.index)
+            yield pd.concat([pdf[[*by, *order_by, col]], marks], axis=1)
 
     schema = ", ".join(f"`{k}` {t}" for k, t in fields.items())
-    return ready.groupBy(*by, "__block").applyInPandas(run, f"{schema}, state string, matched boolean, overlap boolean")
+    placed = ready.repartition(*by, "__block").sortWithinPartitions(*by, "__block", "__rn")
+    return placed.mapInPandas(run, f"{schema}, state string, matched boolean, overlap boolean")
 
 
 def sequence_summary(detected: DataFrame, by: list[str], order_by: list[str]) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql.types import DataType
 
 from sparkloom.operators.features import assemble_xy, label_encode, minmax_apply, minmax_fit
 from sparkloom.operators.sampling import unit_hash
+from sparkloom.operators.similarity import similar_topk
 
 
 @contextmanager
@@ -171,10 +172,11 @@ def predict_ratings(model, pairs: DataFrame, classes: int = 5) -> DataFrame:
 
 
 def recommend(model, n: int) -> DataFrame:
-    """Top n items per user, one row each."""
-    user = model.getUserCol()
-    flat = model.recommendForAllUsers(n).select(user, F.posexplode("recommendations").alias("pos", "r"))
-    return flat.select(user, (F.col("pos") + 1).alias("rank"), f"r.{model.getItemCol()}", F.col("r.rating").alias("score"))
+    """Top n items per user by the product of their factors, one row each."""
+    user, item = model.getUserCol(), model.getItemCol()
+    users = model.userFactors.select(F.col("id").alias(user), "features")
+    items = model.itemFactors.select(F.col("id").alias(item), "features")
+    return similar_topk(users, items, n, "dot", "features", user, item)
 
 
 # ---- batches ----------------------------------------------------------------

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from sparkloom.runtime import cut_lineage
 
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
@@ -78,6 +80,23 @@ def _attach(df: DataFrame, carry: DataFrame, cols: list[str], extra: list[str])
             .select("l.*", *[f"r.{c}" for c in extra]))
 
 
+def _offsets_by_bucket(rows: DataFrame, cells: DataFrame, temp: dict, totals: dict[str, str]) -> DataFrame:
+    """Without groups there is one total per bucket: they are looked up by bucket number."""
+    found = {r[BUCKET]: r for r in cells.collect()}  # one row per bucket
+    size = max(found, default=-1) + 1
+    for t, (name, _) in temp.items():
+        kind, run, before = cells.schema[f"{t}_tot"].dataType, None, []
+        for b in range(size):
+            before.append(run)
+            step = found[b][f"{t}_tot"] if b in found else None
+            run = step if run is None else run if step is None else run + step
+        looked = F.array(*[F.lit(v).cast(kind) for v in before]) if before else F.array().cast(T.ArrayType(kind))
+        rows = rows.withColumn(f"{t}_off", F.get(looked, F.col(BUCKET)))
+        if name in totals:
+            rows = rows.withColumn(totals[name], F.lit(run).cast(kind))
+    return rows
+
+
 def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
                  partition_by: list[str] = (), bucketed: bool = False,
                  buckets: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
@@ -95,11 +114,14 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
     rows = base.select("*", *[F.sum(t).over(local).alias(f"{t}_run") for t in temp])
     # One row per (group, bucket): the only table windowed by group alone.
     cells = base.groupBy(*cell).agg(*[F.sum(t).alias(f"{t}_tot") for t in temp])
-    group = Window.partitionBy(*partition_by)
-    before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = [F.sum(f"{t}_tot").over(group).alias(totals[name]) for t, (name, _) in temp.items() if name in (totals or {})]
-    carry = cells.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp], *whole)
-    joined = _attach(rows, carry, cell, [*[f"{t}_off" for t in temp], *(totals or {}).values()])
+    if partition_by:
+        group = Window.partitionBy(*partition_by)
+        before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        whole = [F.sum(f"{t}_tot").over(group).alias(totals[name]) for t, (name, _) in temp.items() if name in (totals or {})]
+        carry = cells.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp], *whole)
+        joined = _attach(rows, carry, cell, [*[f"{t}_off" for t in temp], *(totals or {}).values()])
+    else:
+        joined = _offsets_by_bucket(rows, cells, temp, totals or {})
     for t, (name, _) in temp.items():
         joined = joined.withColumn(name, F.when(F.col(f"{t}_off").isNull(), F.col(f"{t}_run"))
                                    .when(F.col(f"{t}_run").isNull(), F.col(f"{t}_off"))
@@ -109,8 +131,13 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
 
 def with_ordinal(df: DataFrame, order_by: list[str], partition_by: list[str] = (),
                  name: str = "rn", bucketed: bool = False, buckets: int | None = None,
-                 total: str | None = None) -> DataFrame:
-    """1-based row number in the order, overall or per group; ``total`` adds the group's size."""
+                 total: str | None = None, derived: bool = False) -> DataFrame:
+    """1-based row number in the order, overall or per group; ``total`` adds the group's size.
+
+    A ``derived`` frame (an aggregate of a large table) is stored first, because it is read three times.
+    """
+    if derived:
+        df = cut_lineage(df)
     return running_sums(df, {name: F.lit(1).cast("bigint")}, order_by, partition_by, bucketed, buckets,
                         {name: total} if total else None)
 
@@ -136,11 +163,13 @@ def next_known(df: DataFrame, cols: list[str], order_by: list[str],
     key = F.struct(*order_by)
     heads = base.groupBy(*cell).agg(*[
         F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__head_{c}") for c in cols])
-    later = Window.partitionBy(*partition_by).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-    carry = heads.select(*cell, *[F.first(f"__head_{c}", ignorenulls=True).over(later).alias(f"__next_{c}")
+    # Frames that run from the end backwards: a frame reaching forwards would be read anew for every row.
+    later = Window.partitionBy(*partition_by).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = heads.select(*cell, *[F.last(f"__head_{c}", ignorenulls=True).over(later).alias(f"__next_{c}")
                                   for c in cols])
-    ahead = Window.partitionBy(*cell).orderBy(*order_by).rowsBetween(0, Window.unboundedFollowing)
-    rows = base.select("*", *[F.first(c, ignorenulls=True).over(ahead).alias(f"__local_{c}") for c in cols])
+    ahead = Window.partitionBy(*cell).orderBy(*[F.col(c).desc() for c in order_by]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    rows = base.select("*", *[F.last(c, ignorenulls=True).over(ahead).alias(f"__local_{c}") for c in cols])
     out = _attach(rows, carry, cell, [f"__next_{c}" for c in cols])
     return out.select(*[F.coalesce(f"__local_{c}", f"__next_{c}").alias(c) if c in cols else F.col(c)
                         for c in df.columns])

@@ -10,6 +10,7 @@ from sparkloom.functions import text as tx
 from sparkloom.functions.stem import porter
 from sparkloom.operators.ordered import with_ordinal
 from sparkloom.operators.skew import dimension_join, fits_broadcast
+from sparkloom.runtime import cut_lineage
 
 
 # ---- words of a corpus ------------------------------------------------------
@@ -32,11 +33,18 @@ def distinct_tokens(df: DataFrame, tokens: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, tokens: str, order_by: list[str]) -> DataFrame:
-    """Words with count and the place of their first occurrence."""
-    place = F.struct(*order_by, "pos")
-    return (df.select(*order_by, F.posexplode(tokens).alias("pos", "word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(place).alias("p"))
-            .select("word", "cnt", *[F.col(f"p.{c}").alias(f"first_{c}") for c in [*order_by, "pos"]]))
+    """Words with count and the place of their first occurrence: the row, and the number of
+    other words that come before it there."""
+    # Every occurrence is sent for the count, every distinct word of a row for the place; a row's
+    # place is unique per word, so plain minima find it.
+    every = F.transform(tokens, lambda t: F.struct(t.alias("word"), F.lit(1).alias("o"), F.lit(None).cast("int").alias("pos")))
+    once = F.transform(F.array_distinct(tokens), lambda t, i: F.struct(t.alias("word"), F.lit(0).alias("o"), i.alias("pos")))
+    flat = df.select(*order_by, F.inline(F.concat(every, once)))
+    row = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    at = F.when(F.col("pos").isNotNull(), row)
+    found = flat.groupBy("word").agg(F.sum("o").alias("cnt"), F.min(at).alias("p"), F.min_by("pos", at).alias("first_pos"))
+    first = [F.col("p" if len(order_by) == 1 else f"p.{c}").alias(f"first_{c}") for c in order_by]
+    return found.select("word", "cnt", *first, "first_pos")
 
 
 def most_common(df: DataFrame, tokens: str, order_by: list[str], n: int | None = None) -> DataFrame:
@@ -45,14 +53,14 @@ def most_common(df: DataFrame, tokens: str, order_by: list[str], n: int | None =
     keys = ["__neg", *[f"first_{c}" for c in [*order_by, "pos"]]]
     if n is not None:
         seen = seen.orderBy(*keys).limit(n)
-    return with_ordinal(seen, keys, name="rank").select("word", "cnt", "rank")
+    return with_ordinal(seen, keys, name="rank", derived=True).select("word", "cnt", "rank")
 
 
 # ---- vocabularies -----------------------------------------------------------
 
 def frequency_vocab(df: DataFrame, tokens: str, order_by: list[str], num_words: int) -> DataFrame:
     """Ids 1..V by frequency, ``<UNK>`` = V + 1; 0 is left for padding."""
-    top = most_common(df, tokens, order_by, num_words).select("word", F.col("rank").alias("id"))
+    top = cut_lineage(most_common(df, tokens, order_by, num_words).select("word", F.col("rank").alias("id")))
     unk = top.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select(F.lit("<UNK>").alias("word"), "id")
     return top.unionByName(unk)
 
@@ -60,7 +68,7 @@ def frequency_vocab(df: DataFrame, tokens: str, order_by: list[str], num_words:
 def first_seen_vocab(df: DataFrame, tokens: str, order_by: list[str]) -> DataFrame:
     """``<PAD>`` = 0, ``<UNK>`` = 1, words from 3 on in order of first appearance."""
     seen = first_seen(df, tokens, order_by)
-    ids = with_ordinal(seen, [f"first_{c}" for c in [*order_by, "pos"]], name="id")
+    ids = with_ordinal(seen, [f"first_{c}" for c in [*order_by, "pos"]], name="id", derived=True)
     fixed = df.sparkSession.createDataFrame([("<PAD>", 0), ("<UNK>", 1)], "word string, id bigint")
     return ids.select("word", (F.col("id") + 2).alias("id")).unionByName(fixed)
 
@@ -69,13 +77,13 @@ def set_vocab(df: DataFrame, tokens: str, specials: tuple[str, ...] = ("[PAD]",
     """Distinct words and special tokens, 0-based ids in sorted order."""
     extra = df.sparkSession.createDataFrame([(s,) for s in specials], "word string")
     all_words = df.select(F.explode(tokens).alias("word")).unionByName(extra).distinct()
-    return with_ordinal(all_words, ["word"], name="id").withColumn("id", F.col("id") - 1)
+    return with_ordinal(all_words, ["word"], name="id", derived=True).withColumn("id", F.col("id") - 1)
 
 
 def char_vocab(df: DataFrame, text: str) -> DataFrame:
     """Sorted distinct characters with 0-based ids."""
     chars = df.select(F.explode(tx.characters(text)).alias("word")).distinct()
-    return with_ordinal(chars, ["word"], name="id").withColumn("id", F.col("id") - 1)
+    return with_ordinal(chars, ["word"], name="id", derived=True).withColumn("id", F.col("id") - 1)
 
 
 def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, unk: int | None = None,
@@ -212,10 +220,11 @@ def tfidf_vocab(df: DataFrame, key: str, tokens: str, min_df: int, max_df: float
 def tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_df: float = 0.6, max_features: int | None = 2000,
           vocab: DataFrame | None = None) -> DataFrame:
     """L2-normalised TF-IDF weights in long form (key, term, weight)."""
-    vocab = vocab if vocab is not None else tfidf_vocab(df, key, tokens, min_df, max_df, max_features)
-    tf = (df.repartition(key).select(key, F.explode(tokens).alias("term"))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    raw = dimension_join(tf, vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vocab = vocab if vocab is not None else cut_lineage(tfidf_vocab(df, key, tokens, min_df, max_df, max_features))
+    # Words outside the vocabulary are dropped before anything is counted.
+    known = dimension_join(df.repartition(key).select(key, F.explode(tokens).alias("term")), vocab, "term")
+    raw = known.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")) \
+        .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 

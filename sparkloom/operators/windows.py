@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.operators.ordered import frame_windows, running_sums
@@ -14,21 +17,19 @@ def lag_col(df: DataFrame, col: str, n: int, by: list[str], order_by: list[str],
     return frame_windows(df, lambda w: {name or f"{col}_lag{n}": F.lag(col, n).over(w)}, order_by, by, n, calendar)
 
 
-def diff(df: DataFrame, col: str, by: list[str], order_by: list[str], times: int = 1, calendar: bool = False,
-         name: str | None = None) -> DataFrame:
-    """``times``-fold first difference: the alternating binomial sum of lags."""
-    coef = [1]
-    for _ in range(times):
-        coef = [a - b for a, b in zip(coef + [0], [0] + coef)]
+def diff(df: DataFrame, col: str, by: list[str], order_by: list[str], times: int | tuple[int, ...] = 1,
+         calendar: bool = False, name: str | None = None) -> DataFrame:
+    """First, second, ... difference as alternating binomial sums of lags; several orders share one window."""
+    orders = (times,) if isinstance(times, int) else times
 
     def build(w: Window) -> dict[str, Column]:
-        terms = [F.lag(col, k).over(w) * F.lit(c) if k else F.col(col) * F.lit(c) for k, c in enumerate(coef)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return {name or f"{col}_diff{times}": total}
+        out = {}
+        for n in orders:
+            terms = [(F.lag(col, k).over(w) if k else F.col(col)) * F.lit((-1) ** k * comb(n, k)) for k in range(n + 1)]
+            out[name if name and len(orders) == 1 else f"{col}_diff{n}"] = reduce(lambda a, b: a + b, terms)
+        return out
 
-    return frame_windows(df, build, order_by, by, times, calendar)
+    return frame_windows(df, build, order_by, by, max(orders), calendar)
 
 
 def rolling(df: DataFrame, col: str, width: int, by: list[str], order_by: list[str],

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.operators import relational as rel
+from sparkloom.operators.ordered import with_ordinal
 from sparkloom.operators.skew import dimension_join
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
 
@@ -101,20 +102,15 @@ def j07(spark, sf):
 @query("J12_attach_response", """
 with resp as (select role as intent, text as response, row_number() over (partition by role order by conv_id, turn) - 1 as pos from conversations),
  n as (select intent, count(*) as n from resp group by 1)
-select c.conv_id, c.turn, r.response from conversations c
-join n on n.intent = 'assistant'
-join resp r on r.intent = 'assistant' and r.pos =
-  ('0x' || substr(md5(c.conv_id || '-' || c.turn || '|7'), 1, 8))::bigint % n.n
-where c.role = 'user'""")
+select c.conv_id, c.turn, r.response from conversations c join n on n.intent = c.role
+join resp r on r.intent = c.role and r.pos = ('0x' || substr(md5(c.conv_id || '-' || c.turn || '|7'), 1, 8))::bigint % n.n""")
 def j12(spark, sf):
-    from sparkloom.operators.ordered import with_ordinal
     conv = table(spark, sf, "conversations")
     resp = with_ordinal(conv.select(F.col("role").alias("intent"), F.col("text").alias("response"), "conv_id", "turn"),
                         ["conv_id", "turn"], ["intent"], name="pos")
     resp = resp.select("intent", (F.col("pos") - 1).alias("pos"), "response")
-    pred = conv.filter("role = 'user'").select(
-        "conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
-        F.lit("assistant").alias("intent"))
+    pred = conv.select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
+                       F.col("role").alias("intent"))
     return rel.attach_response(pred, resp, "key", seed=7).select("conv_id", "turn", "response")
 
 

@@ -1,5 +1,7 @@
 """Models and recommenders over whole tables."""
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,7 @@ from sparkloom.operators.metrics import auroc_ovr, classification_metrics, regre
 from sparkloom.operators.sampling import block_kfold, random_split, user_holdout
 from sparkloom.plans.joins import RATINGS, ratings
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
-from sparkloom.runtime import scratch_path
+from sparkloom.runtime import cut_lineage, scratch_path
 
 X = ["l_quantity", "l_discount", "l_tax"]
 Y = "l_extendedprice"
@@ -192,15 +194,16 @@ def c03(spark, sf):
 @query("C04_evaluate")
 def c04(spark, sf):
     order = ["l_orderkey", "l_linenumber", "movie_id", "rating"]
-    blocks = block_kfold(ratings(spark, sf), order, 5)
-    held = user_holdout(ratings(spark, sf), "user_id", order, 1, 10)
+    r = cut_lineage(ratings(spark, sf))
+    blocks = cut_lineage(block_kfold(r, order, 5))
+    held = cut_lineage(user_holdout(r, "user_id", order, 1, 10))
     out = []
     for name, base, test in (("block", blocks.filter("fold != 1"), blocks.filter("fold = 1")),
                              ("holdout", held.filter("split = 'base'"), held.filter("split = 'test'"))):
-        pred = mdl.predict_ratings(mdl.fit_als(base, rank=8, iterations=5), test)
+        pred = cut_lineage(mdl.predict_ratings(mdl.fit_als(base, rank=8, iterations=5), test))
         near = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda c: -F.abs(F.col("prediction") - c).cast("double"))
         auc = auroc_ovr(pred.select((F.col("rating") - 1).alias("y"), near.alias("s")), "s", "y").agg(F.avg("auroc").alias("auroc"))
         err = regression_metrics(pred, "rating", "prediction")
-        out.append(err.select(F.lit(name).alias("split"), "n", "rmse", "mae")
-                   .join(auc.select(F.lit(name).alias("split"), "auroc"), "split"))
-    return out[0].unionByName(out[1])
+        named = F.array(*[F.struct(F.lit(name).alias("split"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("rmse", "mae")])
+        out += [err.select(F.inline(named)), auc.select(F.lit(name), F.lit("auroc"), "auroc")]
+    return reduce(lambda a, b: a.unionAll(b), out)

@@ -6,6 +6,7 @@ from sparkloom.operators import sampling as smp
 from sparkloom.operators.aggregates import filter_frequent
 from sparkloom.plans.joins import RATINGS, ratings
 from sparkloom.plans.registry import query, table
+from sparkloom.runtime import cut_lineage
 
 ORD = "md5(o_orderkey || '|42')"
 LABELLED = "(select d.doc_id, d.lang, l.quality from documents d join labels l using (doc_id))"
@@ -18,8 +19,7 @@ def labelled(spark, sf):
 
 @query("M01_shuffle", f"select o_orderkey, row_number() over (order by {ORD}, o_orderkey) as place from orders")
 def m01(spark, sf):
-    from sparkloom.operators.sampling import hash_ordinal
-    return hash_ordinal(table(spark, sf, "orders"), "o_orderkey", 42, name="place").select("o_orderkey", "place")
+    return smp.hash_ordinal(table(spark, sf, "orders"), "o_orderkey", 42, name="place").select("o_orderkey", "place")
 
 
 @query("M01_shuffled_rows", f"select o_orderkey, o_totalprice from orders order by {ORD}")
@@ -58,7 +58,7 @@ def m05(spark, sf):
 
 @query("M06_fold_split", f"select doc_id, quality, case when kfold = 0 then 'valid' else 'train' end as part from ({KFOLD})")
 def m06(spark, sf):
-    train, valid = smp.fold_split(m05(spark, sf), 0)
+    train, valid = smp.fold_split(cut_lineage(m05(spark, sf)), 0)  # the stored fold table
     return train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))
 
 

@@ -7,7 +7,7 @@ from sparkloom.functions.stem import (DOUBLE, ENDS_CONSONANT, ENDS_CVC, HAS_VOWE
                                       STEP_2, STEP_3, STEP_4)
 from sparkloom.operators import text as ops
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
-from sparkloom.runtime import cut_lineage
+from sparkloom.runtime import cut_lineage, spread
 
 SP = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 PUNCT_SQL = tx.PUNCTUATION.replace("'", "''")
@@ -21,15 +21,16 @@ def sql_words(col, least=1):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def doc_tokens(spark, sf, min_chars=1):
-    return table(spark, sf, "documents").select("doc_id", tx.words("text", min_chars).alias("tokens"))
+    return docs(spark, sf).select("doc_id", tx.words("text", min_chars).alias("tokens"))
 
 
 def conv_tokens(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", tx.words("text").alias("tokens"))
+    conv = spread(table(spark, sf, "conversations"), "conv_id", "turn")
+    return conv.select("conv_id", "turn", tx.words("text").alias("tokens"))
 
 
 TOK = f"(select doc_id, unnest({sql_words('text')}) as word from documents)"
@@ -43,7 +44,7 @@ CONV = f"(select conv_id, turn, {sql_words('text')} as tokens from conversations
 def cleaner(name, source, key, col, spark_fn, sql_expr):
     @query(name, f"select {key}, {sql_expr} as out from {source}")
     def run(spark, sf):
-        return table(spark, sf, source).select(key, spark_fn(F.col(col)).alias("out"))
+        return spread(table(spark, sf, source).select(key, col), key).select(key, spark_fn(F.col(col)).alias("out"))
     return run
 
 

@@ -28,9 +28,8 @@ def w01b(spark, sf):
 select event_id, {rnd_sql(f'value - lag(value) over ({EV})')} as d1,
   {rnd_sql(f'value - 2 * lag(value) over ({EV}) + lag(value, 2) over ({EV})')} as d2 from events""")
 def w02(spark, sf):
-    df = win.diff(table(spark, sf, "events"), "value", BY, ORDER, 1, name="d1")
-    df = win.diff(df, "value", BY, ORDER, 2, name="d2")
-    return df.select("event_id", rnd("d1").alias("d1"), rnd("d2").alias("d2"))
+    df = win.diff(table(spark, sf, "events"), "value", BY, ORDER, (1, 2))
+    return df.select("event_id", rnd("value_diff1").alias("d1"), rnd("value_diff2").alias("d2"))
 
 
 @query("W03_rolling", f"""
