@@ -44,9 +44,16 @@ def _fit(estimator: Estimator, xy: DataFrame):
 # ---- regression -------------------------------------------------------------
 
 def fit_elastic_net(df: DataFrame, features: list[str], target: str, alpha: float, l1_ratio: float):
-    """Two separate parameters, no standardisation: the usual elastic net objective."""
-    return _fit(LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=200, tol=1e-8),
-                assemble_xy(df, features, target))
+    """Minimise RSS / 2n + alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2), without standardisation.
+
+    MLlib scales the target to unit deviation first, which divides the squared
+    penalty by that deviation; the parameters are set so that it cancels out.
+    """
+    dev = df.agg(F.stddev_pop(target)).first()[0] or 1.0
+    reg = alpha * (l1_ratio + (1.0 - l1_ratio) * dev)
+    estimator = LinearRegression(regParam=reg, elasticNetParam=alpha * l1_ratio / reg if reg else 0.0, standardization=False,
+                                 maxIter=500, tol=1e-9)
+    return _fit(estimator, assemble_xy(df, features, target))
 
 
 def fit_ols(df: DataFrame, features: list[str], target: str):

@@ -41,14 +41,14 @@ def sample_n(df: DataFrame, n: int, key: str | list[str], seed: int) -> DataFram
 
 def random_split(df: DataFrame, weights: dict[str, float], key: str | list[str], seed: int, name: str = "split") -> DataFrame:
     """Split by ratio: a map-only job, each row decides for itself."""
-    total, upto, expr = sum(weights.values()), 0.0, None
+    total, upto, expr = sum(weights.values()), 0.0, F
     u = unit_hash(key, seed)
     parts = list(weights.items())
     for part, weight in parts[:-1]:
         upto += weight / total
-        expr = (expr or F).when(u < upto, F.lit(part))
+        expr = expr.when(u < upto, F.lit(part))
     last = F.lit(parts[-1][0])
-    return df.withColumn(name, expr.otherwise(last) if expr is not None else last)
+    return df.withColumn(name, expr.otherwise(last) if len(parts) > 1 else last)
 
 
 def stratified_split(df: DataFrame, label: str, frac: float, key: str | list[str], seed: int,
