@@ -283,15 +283,17 @@ def holt_winters(df: DataFrame, by: list[str], t: str, y: str, period: int = 12,
                  grid: list[tuple[float, float, float]] | None = None, horizon: int = 36) -> DataFrame:
     """Additive trend, multiplicative season; (alpha, beta, gamma) of least squared error from a grid.
 
-    Every (series, grid point) is one row of a distributed table. Values must be
-    positive, and series shorter than two periods give no forecast.
+    Every (series, grid point) is one row of a distributed table. A series with a
+    value that is not positive, or shorter than two periods, has no such model and
+    gives no forecast.
     """
     if grid is None:
         steps = (0.1, 0.3, 0.5, 0.7, 0.9)
         grid = [(a, b, g) for a in steps for b in steps for g in steps]
     # One value per calendar period: the calendar bounds the array.
     packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(t, F.col(y).cast("double").alias("v")))).alias("__r")) \
-        .select(*by, F.transform("__r", lambda r: r["v"]).alias("__y")).filter(F.size("__y") >= 2 * period)
+        .select(*by, F.transform("__r", lambda r: r["v"]).alias("__y")).filter(
+        (F.size("__y") >= 2 * period) & F.forall("__y", lambda v: v > 0))
     points = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"), F.lit(float(g)).alias("gamma"))
                        for a, b, g in grid])
     tries = packed.select(*by, "__y", F.explode(points).alias("g")).select(*by, "__y", "g.*") \

@@ -118,7 +118,7 @@ def e05b(spark, sf):
 
 
 @query("E06_holt_winters_fixed", f"""
-with recursive s as (select priority, list(y order by ds) as y from {MONTH} group by 1),
+with recursive s as (select priority, list(y order by ds) as y from {MONTH} group by 1 having min(y) > 0),
  r as (select priority, y, 0 as i, list_sum(y[1:12]) / 12 as l, (list_sum(y[13:24]) - list_sum(y[1:12])) / 144 as b,
          list_transform(y[1:12], lambda v: v / (list_sum(y[1:12]) / 12)) as se, 0::double as sse from s
   union all
