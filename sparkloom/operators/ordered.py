@@ -9,58 +9,50 @@ number to sort it downwards).
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkloom.runtime import cut_lineage
 
 BUCKET = "__bucket"
-ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 20
 
 
-def _bounds(df: DataFrame, keys: list[str], buckets: int | None) -> list:
-    """Split points from a uniform sample; they decide balance only, never results.
+def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[str]:
+    """Split points (as JSON) from a uniform sample; they decide balance only, never results.
 
-    One pass over the keys: rows fall into hash classes, and each class counts its
-    rows and keeps the one with the highest second hash.
+    One pass over the keys: rows fall into hash classes, and each class keeps the
+    row with the highest second hash.
     """
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = buckets or max(4 * parallel, 64)
-    classes = most * SAMPLES_PER_BUCKET
-    picked = (df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(classes)).alias("__class"))
-              .agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(*keys), F.xxhash64(F.lit(1), *keys)).alias("__k")))
-    rows = picked.orderBy("__k").collect()  # at most `classes` rows
-    if buckets is None:
-        buckets = min(most, max(parallel, ceil(sum(r["__n"] for r in rows) / ROWS_PER_BUCKET)))
+    classes = F.pmod(F.xxhash64(*keys), F.lit(buckets * SAMPLES_PER_BUCKET))
+    picked = df.groupBy(classes).agg(F.max_by(F.struct(*keys), F.xxhash64(F.lit(1), *keys)).alias("k"))
+    rows = picked.orderBy("k").select(F.to_json("k")).collect()  # at most one row per class
     step = max(1, len(rows) // buckets)
-    return [r["__k"] for r in rows[step::step]][: buckets - 1]
+    return [r[0] for r in rows[step::step]][: buckets - 1]
 
 
 def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in ``keys``, by binary search over split points."""
-    bounds = _bounds(df, keys, buckets)
+    """Add ``__bucket``, non-decreasing in ``keys``, by binary search over split points.
+
+    By default there are as many buckets as shuffle partitions, which a session
+    sets to fit its data.
+    """
+    if buckets is None:
+        buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = _bounds(df, keys, buckets) if buckets > 1 else []
     if not bounds:
         return df.withColumn(BUCKET, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def struct(values) -> Column:
-        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, values)])
-
-    points = F.array(*[struct(b) for b in bounds])
-    n, step, steps = len(bounds), 1, []
-    while step <= n:
-        steps.insert(0, step)
-        step *= 2
+    kind = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
+    points = F.from_json(F.lit(f"[{','.join(bounds)}]"), kind)
+    n, steps = len(bounds), []
+    while not steps or steps[0] * 2 <= n:
+        steps.insert(0, steps[0] * 2 if steps else 1)
     key = F.struct(*[F.col(k).alias(k) for k in keys])
 
-    def advance(pos: Column, s: Column) -> Column:
-        nxt = pos + s
-        ahead = (nxt <= n) & (F.get(points, nxt - 1) <= key)
-        return F.when(ahead, nxt).otherwise(pos)
+    def advance(pos: Column, step: Column) -> Column:
+        ahead = (pos + step <= n) & (F.get(points, pos + step - 1) <= key)
+        return F.when(ahead, pos + step).otherwise(pos)
 
-    return df.withColumn(BUCKET, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance))
+    return df.withColumn(BUCKET, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance))
 
 
 def hash_bucket(digest: str, buckets: int) -> Column:

@@ -27,9 +27,8 @@ def _row_bytes(df: DataFrame):
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                    max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure ``df`` (rows and bytes) in one bounded job."""
-    probe = df.limit(max_rows + 1)
-    n, size = probe.agg(F.count(F.lit(1)), F.sum(_row_bytes(probe))).first()
+    """Measure ``df``: its rows and bytes, summed where the data is."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
     return n <= max_rows and (size or 0) <= max_bytes
 
 

@@ -281,7 +281,9 @@ def suggest(df: DataFrame, key: list[str], tokens: str, model: DataFrame, n: int
     """Extend every row by its best next word, ``steps`` times, backing off to shorter contexts."""
     best = model.filter("rank = 1").select("size", "context", "next")
     out = df.select(*key, F.col(tokens).alias("__t"), F.array().cast("array<string>").alias("suggested"))
-    for _ in range(steps):
+    for step in range(steps):
+        if step % 5 == 4:
+            out = cut_lineage(out)  # long extensions keep a short plan
         for size in range(n, 0, -1):
             ctx = F.when(F.size("__t") >= size, F.array_join(F.slice("__t", F.size("__t") - (size - 1), F.lit(size)), " "))
             side = best.filter(F.col("size") == size).select(F.col("context").alias("__c"), F.col("next").alias(f"__n{size}"))

@@ -141,7 +141,7 @@ def l12(spark, sf):
     return out.agg(*[F.avg((F.col(k) == F.col(f"pred_{k}")).cast("int")).alias(f"accuracy_{k}") for k in flags])
 
 
-@query("L13_save_load")
+@query("L13_save_load", "select count(*) as n, count(*)::bigint as equal from embeddings")
 def l13(spark, sf):
     xy = embeddings_xy(spark, sf)
     path = scratch_path(spark, "model")

@@ -131,9 +131,11 @@ def x07(spark, sf):
     return ops.stem_vocab(doc_tokens(spark, sf), "tokens").withColumnRenamed("base", "stem")
 
 
-@query("X07_stem_documents")
+@query("X07_stem_documents", f"""with stems as ({_stem_sql()})
+select doc_id, string_agg(stem, ' ' order by pos) as stems from {TOKPOS} t join stems using (word) group by doc_id""")
 def x07b(spark, sf):
-    return ops.stem(doc_tokens(spark, sf), ["doc_id"], "tokens").select("doc_id", F.array_join("tokens", " ").alias("stems"))
+    tokens = doc_tokens(spark, sf).filter(F.size("tokens") > 0)
+    return ops.stem(tokens, ["doc_id"], "tokens").select("doc_id", F.array_join("tokens", " ").alias("stems"))
 
 
 LEMMAS = f"""lemmas as (select word as form, left(word, len(word) - 1) as lemma from (select distinct word from {TOK}) v

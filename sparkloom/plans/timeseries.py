@@ -72,9 +72,19 @@ def e03(spark, sf):
     return ts.acf(series(spark, sf), KEY, "ds", "y", 14).withColumn("acf", rnd("acf", 6))
 
 
-@query("E03_pacf")
+@query("E03_pacf", f"""
+with recursive c as (select priority, ds, y - avg(y) over (partition by priority) as z from {DAY}),
+ k as (select priority, lag, sum(z * l) as s from (select priority, z, lag, lag(z, lag) over (partition by priority, lag order by ds) as l
+       from c, (select unnest(range(0, 15)) as lag)) group by all),
+ a as (select priority, list(s / s0 order by lag) as r from k join (select priority, s as s0 from k where lag = 0) using (priority) group by 1),
+ d as (select priority, r, 0::bigint as k, []::double[] as phi, 1::double as last from a
+  union all
+  select priority, r, k + 1, list_transform(range(1, k + 1), lambda j: phi[j] - v * phi[k + 1 - j]) || [v], v
+  from (select *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0))
+          / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0)) as v from d where k < 14))
+select priority, k::int as lag, {rnd_sql('last', 6)} as pacf from d""")
 def e03b(spark, sf):
-    return ts.pacf(series(spark, sf), KEY, "ds", "y", 14)
+    return ts.pacf(series(spark, sf), KEY, "ds", "y", 14).withColumn("pacf", rnd("pacf", 6))
 
 
 @query("E04_ar1", f"""
