@@ -46,13 +46,15 @@ def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None) -> D
     n, steps = len(bounds), []
     while not steps or steps[0] * 2 <= n:
         steps.insert(0, steps[0] * 2 if steps else 1)
-    key = F.struct(*[F.col(k).alias(k) for k in keys])
-
-    def advance(pos: Column, step: Column) -> Column:
-        ahead = (pos + step <= n) & (F.get(points, pos + step - 1) <= key)
-        return F.when(ahead, pos + step).otherwise(pos)
+    def search(key: Column) -> Column:
+        def advance(pos: Column, step: Column) -> Column:
+            ahead = (pos + step <= n) & (F.get(points, pos + step - 1) <= key)
+            return F.when(ahead, pos + step).otherwise(pos)
+        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance)
 
-    return df.withColumn(BUCKET, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance))
+    # The key is bound to a lambda variable, so it is put together once per row.
+    key = F.struct(*[F.col(k).alias(k) for k in keys])
+    return df.withColumn(BUCKET, F.transform(F.array(key), search)[0])
 
 
 def hash_bucket(digest: str, buckets: int) -> Column:

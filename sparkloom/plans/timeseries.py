@@ -144,9 +144,23 @@ def e06(spark, sf):
     return out.select("priority", "step", rnd("forecast", 2).alias("forecast"))
 
 
-@query("E06_holt_winters")
+@query("E06_holt_winters", f"""
+with recursive s as (select priority, list(y order by ds) as y from {MONTH} group by 1 having min(y) > 0),
+ g as (select unnest([0.1::double, 0.3::double, 0.5::double, 0.7::double, 0.9::double]) as v),
+ r as (select priority, y, a.v as alpha, b.v as beta, c.v as gamma, 0 as i, list_sum(y[1:12]) / 12 as l,
+         (list_sum(y[13:24]) - list_sum(y[1:12])) / 144 as t, list_transform(y[1:12], lambda v: v / (list_sum(y[1:12]) / 12)) as se, 0::double as sse
+       from s, g a, g b, g c
+  union all
+  select priority, y, alpha, beta, gamma, i + 1, n, beta * (n - l) + (1 - beta) * t,
+    list_transform(range(12), lambda k: case when k = i % 12 then gamma * y[i + 1] / (l + t) + (1 - gamma) * se[k + 1] else se[k + 1] end),
+    sse + (y[i + 1] - (l + t) * se[i % 12 + 1]) ** 2
+  from (select *, alpha * y[i + 1] / se[i % 12 + 1] + (1 - alpha) * (l + t) as n from r where i < len(y))),
+ best as (select *, row_number() over (partition by priority order by sse, alpha, beta, gamma) as rk from r where i = len(y))
+select priority, alpha, beta, gamma, step::int as step, {rnd_sql('(l + step * t) * se[(i + step - 1) % 12 + 1]', 1)} as forecast
+from best, (select unnest(range(1, 37)) as step) where rk = 1""")
 def e06b(spark, sf):
-    return ts.holt_winters(series(spark, sf, "M"), KEY, "ds", "y", 12, horizon=36)
+    out = ts.holt_winters(series(spark, sf, "M"), KEY, "ds", "y", 12, horizon=36)
+    return out.select("priority", "alpha", "beta", "gamma", "step", rnd("forecast", 1).alias("forecast"))
 
 
 @query("E07_naive_forecast", f"""
