@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from string import punctuation as PUNCTUATION
+
 from pyspark.sql import Column, functions as F
 
-# Character classes with the meaning Unicode-aware regular expressions give them.
+# Patterns, in character classes with the meaning Unicode-aware regular expressions give them.
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 TAG = r"(?d)<.*?>"
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Emoji ranges. The last one also covers CJK, Hangul and kana.
 EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
          r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+")
@@ -148,3 +149,13 @@ def prefix_sequences(ids: str | Column, pad: int = 64, ngrams: int = 3) -> Colum
         return F.struct(i.alias("i"), F.slice(full, 1, pad - 1).alias("x"), F.element_at(full, -1).alias("y"))
 
     return F.transform(at, one)
+
+
+def fill_template(template: str, **extra: Column) -> Column:
+    """Text with its ``{name}`` places filled from columns, or from the given expressions."""
+    parts, rest = [], template
+    while "{" in rest:
+        text, rest = rest.split("{", 1)
+        field, rest = rest.split("}", 1)
+        parts += [F.lit(text), extra.get(field, F.col(field)).cast("string")]
+    return F.concat(*parts, F.lit(rest))

@@ -9,6 +9,8 @@ number to sort it downwards).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkloom.runtime import cut_lineage
@@ -84,7 +86,7 @@ def _offsets_by_bucket(rows: DataFrame, cells: DataFrame, temp: dict, totals: di
             before.append(run)
             step = found[b][f"{t}_tot"] if b in found else None
             run = step if run is None else run if step is None else run + step
-        looked = F.array(*[F.lit(v).cast(kind) for v in before]) if before else F.array().cast(T.ArrayType(kind))
+        looked = F.from_json(F.lit(json.dumps(before)), T.ArrayType(kind))  # one literal, however many buckets
         rows = rows.withColumn(f"{t}_off", F.get(looked, F.col(BUCKET)))
         if name in totals:
             rows = rows.withColumn(totals[name], F.lit(run).cast(kind))

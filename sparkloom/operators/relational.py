@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sparkloom.functions.text import fill_template
 from sparkloom.operators.ordered import next_known, nth_row
 from sparkloom.operators.skew import dimension_join
 from sparkloom.runtime import cut_lineage
@@ -87,6 +88,12 @@ def log_or_null(c: Column) -> Column:
     return F.when(c > 0, F.ln(c))
 
 
+# The sentences of the recommender's training texts.
+USER_TEXT = "My age is {age} . My gender is {gender} . My occupation is {occupation}"
+ITEM_TEXT = ("The movie title is {title} . The genre of the movie is {genres} . "
+             "I have given the movie-rating to {rating}")
+
+
 def build_prompts(df: DataFrame, age: str, gender: str, occupation: str, title: str,
                   genres: str, rating: str) -> DataFrame:
     """User sentence, item sentence and 0-based rating class."""
@@ -94,11 +101,8 @@ def build_prompts(df: DataFrame, age: str, gender: str, occupation: str, title:
     cls = F.col(rating) - 1
     return df.withColumns({
         "rating_class": cls,
-        "user_text": F.concat(F.lit("My age is "), F.col(age).cast("string"), F.lit(" . My gender is "), sex,
-                              F.lit(" . My occupation is "), F.col(occupation).cast("string")),
-        "item_text": F.concat(F.lit("The movie title is "), F.col(title),
-                              F.lit(" . The genre of the movie is "), F.array_join(genres, ", "),
-                              F.lit(" . I have given the movie-rating to "), cls.cast("string")),
+        "user_text": fill_template(USER_TEXT, age=F.col(age), gender=sex, occupation=F.col(occupation)),
+        "item_text": fill_template(ITEM_TEXT, title=F.col(title), genres=F.array_join(genres, ", "), rating=cls),
     })
 
 
