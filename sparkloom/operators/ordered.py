@@ -13,6 +13,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sparkloom.operators.skew import fits_broadcast
 from sparkloom.runtime import cut_lineage
 
 BUCKET = "__bucket"
@@ -71,8 +72,20 @@ def _on(left: str, right: str, cols: list[str]) -> Column:
     return cond
 
 
-def _attach(df: DataFrame, carry: DataFrame, cols: list[str], extra: list[str]) -> DataFrame:
-    return (df.alias("l").join(carry.alias("r"), _on("l", "r", cols), "inner")
+def _attach(df: DataFrame, carry: DataFrame, cols: list[str], extra: list[str], bucketed: bool) -> DataFrame:
+    """Look up the carried values of a cell; most cells have none.
+
+    ``carry`` holds only cells of groups that lie in several buckets. Range
+    buckets are cut from the sorted order, so each split point lies inside at most
+    one group: there are at most two such cells per bucket, which is a broadcast
+    of proven size. Buckets given by the caller are measured first.
+    """
+    small = True
+    if bucketed:
+        carry = cut_lineage(carry)
+        small = fits_broadcast(carry)
+    side = F.broadcast(carry) if small else carry
+    return (df.alias("l").join(side.alias("r"), _on("l", "r", cols), "left")
             .select("l.*", *[f"r.{c}" for c in extra]))
 
 
@@ -111,11 +124,17 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order_by: list[str],
     # One row per (group, bucket): the only table windowed by group alone.
     cells = base.groupBy(*cell).agg(*[F.sum(t).alias(f"{t}_tot") for t in temp])
     if partition_by:
+        totals = totals or {}
         group = Window.partitionBy(*partition_by)
         before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        whole = [F.sum(f"{t}_tot").over(group).alias(totals[name]) for t, (name, _) in temp.items() if name in (totals or {})]
-        carry = cells.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp], *whole)
-        joined = _attach(rows, carry, cell, [*[f"{t}_off" for t in temp], *(totals or {}).values()])
+        whole = {t: totals[name] for t, (name, _) in temp.items() if name in totals}
+        carry = cells.select(*cell, *[F.sum(f"{t}_tot").over(before).alias(f"{t}_off") for t in temp],
+                             *[F.sum(f"{t}_tot").over(group).alias(f"{t}_all") for t in whole],
+                             F.count(F.lit(1)).over(group).alias("__cells")).filter("__cells > 1").drop("__cells")
+        here = rows.select("*", *[F.sum(t).over(Window.partitionBy(*cell)).alias(f"{t}_here") for t in whole])
+        joined = _attach(here, carry, cell, [*[f"{t}_off" for t in temp], *[f"{t}_all" for t in whole]], bucketed)
+        joined = joined.withColumns({n: F.coalesce(f"{t}_all", f"{t}_here") for t, n in whole.items()}) \
+            .drop(*[f"{t}{s}" for t in whole for s in ("_all", "_here")])
     else:
         joined = _offsets_by_bucket(rows, cells, temp, totals or {})
     for t, (name, _) in temp.items():
@@ -162,11 +181,11 @@ def next_known(df: DataFrame, cols: list[str], order_by: list[str],
     # Frames that run from the end backwards: a frame reaching forwards would be read anew for every row.
     later = Window.partitionBy(*partition_by).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = heads.select(*cell, *[F.last(f"__head_{c}", ignorenulls=True).over(later).alias(f"__next_{c}")
-                                  for c in cols])
+                                  for c in cols]).dropna("all", subset=[f"__next_{c}" for c in cols])
     ahead = Window.partitionBy(*cell).orderBy(*[F.col(c).desc() for c in order_by]) \
         .rowsBetween(Window.unboundedPreceding, 0)
     rows = base.select("*", *[F.last(c, ignorenulls=True).over(ahead).alias(f"__local_{c}") for c in cols])
-    out = _attach(rows, carry, cell, [f"__next_{c}" for c in cols])
+    out = _attach(rows, carry, cell, [f"__next_{c}" for c in cols], bucketed=False)
     return out.select(*[F.coalesce(f"__local_{c}", f"__next_{c}").alias(c) if c in cols else F.col(c)
                         for c in df.columns])
 
