@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import gam, url_filter
+from sparkloom.llm import gam, packing, token_counts, token_files, url_filter
+from sparkloom.llm.common import folder
+from sparkloom.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +39,20 @@ def op2_url_filter(spark, sf_dir):
 @query("op8_quality_gam")
 def op8_quality_gam(spark, sf_dir):
     return gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark, sf_dir):
+    path = f"{folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.token_digest(token_files.with_start(token_files.read_token_files(spark, path)))
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
