@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import gam, packing, token_counts, token_files, url_filter
+from sparkloom.llm import gam, kneser_ney, packing, suffix_tree, token_counts, token_files, url_filter
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -56,3 +56,13 @@ def op6_token_files(spark, sf_dir):
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op1_suffix_tree")
+def op1_suffix_tree(spark, sf_dir):
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_kneser_ney")
+def op10_kneser_ney(spark, sf_dir):
+    return kneser_ney.judge_documents(table(spark, sf_dir, "documents"))
