@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import gam, kneser_ney, packing, suffix_tree, token_counts, token_files, url_filter
+from sparkloom.llm import gam, kneser_ney, mixing, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -66,3 +66,18 @@ def op1_suffix_tree(spark, sf_dir):
 @query("op10_kneser_ney")
 def op10_kneser_ney(spark, sf_dir):
     return kneser_ney.judge_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pivot_search")
+def op5_pivot_search(spark, sf_dir):
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+MIXTURE = mixing.Mixture(
+    weights={("crawl",): 1.0, ("collections",): 3.0, ("crawl", "en"): 2.0, ("collections", "en"): 2.0, ("collections", "es"): 0.5},
+    domains={"src0": "crawl"}, share=1.0, max_epochs=2, seed=7)
+
+
+@query("op9_mixing", mixing.mixture_sql(MIXTURE))
+def op9_mixing(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), MIXTURE)
