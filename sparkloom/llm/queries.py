@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import gam, kneser_ney, mixing, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter
+from sparkloom.llm import gam, kneser_ney, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -81,3 +81,8 @@ MIXTURE = mixing.Mixture(
 @query("op9_mixing", mixing.mixture_sql(MIXTURE))
 def op9_mixing(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"), MIXTURE)
+
+
+@query("op3_setsketch_dedup")
+def op3_setsketch_dedup(spark, sf_dir):
+    return near_dedup.link_documents(table(spark, sf_dir, "documents"), size=4).drop("class_id", "row")
