@@ -1,6 +1,6 @@
 """Hierarchical token budgets: weights run down a tree of domain, language and source, shortages go to siblings first.
 
-A node never gets more than its subtree can give in ``max_epochs`` passes. What a child cannot take is shared
+A node never gets more than its subtree can give in ``max_epochs`` passes, and a weight of zero gives nothing. What a child cannot take is shared
 among its siblings by weight; only what a whole family cannot take goes to the families beside it. Each leaf
 repeats whole epochs and ends with a token-prefix of one more epoch in that epoch's own seeded order.
 """
@@ -73,7 +73,8 @@ def share_out(children: DataFrame, parents: tuple[str, ...]) -> DataFrame:
 
 def budgets(supply: DataFrame, mixture: Mixture) -> DataFrame:
     """One row for each leaf: supply, budget (tokens), whole epochs and the tokens of the last, partial epoch."""
-    leaves = supply.withColumn("cap", F.col("supply") * float(mixture.max_epochs))
+    open_ = (weight_of(1, mixture) > 0) & (weight_of(2, mixture) > 0) & (weight_of(3, mixture) > 0)
+    leaves = supply.withColumn("cap", F.when(open_, F.col("supply") * float(mixture.max_epochs)).otherwise(F.lit(0.0)))
     top = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply")).withColumn("weight", weight_of(1, mixture))
     all_ = Window.partitionBy(F.lit(0))  # over the few domains
     wanted = F.floor(F.sum("supply").over(all_) * mixture.share).cast("double")
@@ -161,8 +162,9 @@ def mixture_sql(mixture: Mixture) -> str:
     return f"""
         with d as (select doc_id, {domain} as domain, coalesce(lang, '') as lang, coalesce(source, '') as source,
                           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from documents),
-          leaf as (select domain, lang, source, sum(n_tokens)::double as supply, sum(n_tokens) * {float(mixture.max_epochs)}::double as cap
-                   from d group by all having sum(n_tokens) > 0),
+          supplies as (select domain, lang, source, sum(n_tokens)::double as supply from d group by all having sum(n_tokens) > 0),
+          leaf as (select *, case when {weight(1)} > 0 and {weight(2)} > 0 and {weight(3)} > 0
+                          then supply * {float(mixture.max_epochs)}::double else 0 end as cap from supplies),
           top_in as (select domain, sum(cap) as cap, {weight(1)} as weight,
                             (select least(sum(cap), floor(sum(supply) * {mixture.share}::double)) from leaf) as budget from leaf group by domain),
           {shared("top", "top_in", "", "domain")},
