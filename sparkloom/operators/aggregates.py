@@ -95,11 +95,11 @@ def group_calendar(df: DataFrame, ts: str, part: str, aggs: list[Column]) -> Dat
 
 
 def collapse_rare(df: DataFrame, col: str, max_count: int, other: str = "OTHER") -> DataFrame:
-    """Categories seen at most ``max_count`` times become ``other``."""
+    """Categories seen at most ``max_count`` times become ``other``; null stays null."""
     kept = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_count) \
         .select(col, F.lit(True).alias("__keep"))
     return dimension_join(df, kept, col, "left", derived=True) \
-        .withColumn(col, F.when(F.col("__keep"), F.col(col)).otherwise(F.lit(other))).drop("__keep")
+        .withColumn(col, F.when(F.col("__keep") | F.col(col).isNull(), F.col(col)).otherwise(F.lit(other))).drop("__keep")
 
 
 def filter_frequent(df: DataFrame, col: str, min_count: int) -> DataFrame:

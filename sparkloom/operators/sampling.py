@@ -70,13 +70,17 @@ def fold_split(df: DataFrame, fold: int, name: str = "kfold") -> tuple[DataFrame
 
 
 def band_split(df: DataFrame, sizes: dict[str, int], key: str | list[str], seed: int, name: str = "split") -> DataFrame:
-    """Fixed-size bands after a shuffle; rows beyond the last band are left out."""
+    """Bands of fixed sizes after a shuffle; the last band takes all rows that are left, whatever its size says."""
     ranked = hash_ordinal(df, key, seed)
-    upto, expr = 0, F
-    for part, size in sizes.items():
-        upto += size
-        expr = expr.when(F.col("__rn") <= upto, F.lit(part))
-    return ranked.withColumn(name, expr).filter(F.col(name).isNotNull()).drop("__rn")
+    *first, last = sizes
+    upto, band = 0, F.lit(last)
+    borders = []
+    for part in first:
+        upto += sizes[part]
+        borders.append((upto, part))
+    for edge, part in reversed(borders):
+        band = F.when(F.col("__rn") <= edge, F.lit(part)).otherwise(band)
+    return ranked.withColumn(name, band).drop("__rn")
 
 
 def head_tail_split(df: DataFrame, order_by: list[str], ratio: float | None = None, tail: int | None = None,

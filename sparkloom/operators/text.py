@@ -175,17 +175,21 @@ def lemmatize(df: DataFrame, key: list[str], tokens: str, lemma_table: DataFrame
 
 
 def remove_stop_words(df: DataFrame, key: list[str], tokens: str, stop: DataFrame | list[str]) -> DataFrame:
-    """Drop stop words, keeping order and repeats. ``stop`` is a list or a one-column table ``word``."""
+    """Drop stop words and null tokens, keeping order and repeats; a null array stays null.
+
+    ``stop`` is a list or a one-column table ``word``; a large table is joined, with the same answer.
+    """
     if not isinstance(stop, list):
         if fits_broadcast(stop, 5_000):
             stop = [r[0] for r in stop.select("word").distinct().collect()]
         else:
-            flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+            flat = df.select(*key, F.col(tokens).isNull().alias("__none"), F.posexplode_outer(tokens).alias("pos", "word"))
             hit = dimension_join(flat, stop.select("word").distinct().withColumn("__s", F.lit(True)), "word", "left")
-            item = F.when(F.col("__s").isNull() & F.col("pos").isNotNull(), F.struct("pos", "word"))
-            packed = hit.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__l"))
-            return packed.select(*key, F.transform("__l", lambda s: s["word"]).alias(tokens))
-    return df.withColumn(tokens, tx.drop_words(F.col(tokens), stop)).select(*key, tokens)
+            item = F.when(F.col("__s").isNull() & F.col("word").isNotNull(), F.struct("pos", "word"))
+            packed = hit.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__l"), F.first("__none").alias("__none"))
+            return packed.select(*key, F.when(~F.col("__none"), F.transform("__l", lambda s: s["word"])).alias(tokens))
+    kept = F.filter(tx.drop_words(F.col(tokens), [w for w in stop if w is not None]), lambda t: t.isNotNull())
+    return df.withColumn(tokens, kept).select(*key, tokens)
 
 
 def clean_text(df: DataFrame, key: list[str], col: str, stop_words: list[str], c_type: str = "lemma",

@@ -264,55 +264,52 @@ def ses_forecast(smoothed: DataFrame, by: list[str], t: str, horizon: int = 3) -
     return last.select(*by, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "forecast")
 
 
-def _hw_run(y: np.ndarray, period: int, alpha: float, beta: float, gamma: float) -> tuple[float, float, float, np.ndarray]:
-    """Sum of squared one-step errors and the final level, trend and seasonal factors."""
-    level = float(y[:period].mean())
-    trend = float((y[period:2 * period].mean() - level) / period)
-    season = y[:period] / level
-    sse = 0.0
+def _hw_grid(y: np.ndarray, period: int, grid: np.ndarray) -> tuple[int, float, float, float, np.ndarray]:
+    """Place of the grid point (alpha, beta, gamma) with the least squared one-step error, that error, and its final
+    level, trend and season. All points run side by side, one step of time after the other."""
+    alpha, beta, gamma = grid.T
+    level = np.full(len(grid), y[:period].mean())
+    trend = np.full(len(grid), (y[period:2 * period].mean() - y[:period].mean()) / period)
+    season = np.repeat((y[:period] / y[:period].mean())[:, None], len(grid), axis=1)
+    sse = np.zeros(len(grid))
     for i, value in enumerate(y):
         s, ahead = season[i % period], level + trend
         sse += (value - ahead * s) ** 2
         new = alpha * value / s + (1 - alpha) * ahead
         season[i % period] = gamma * value / ahead + (1 - gamma) * s
         level, trend = new, beta * (new - level) + (1 - beta) * trend
-    return sse, level, trend, season
+    best = int(np.lexsort((gamma, beta, alpha, sse))[0])
+    return best, float(sse[best]), float(level[best]), float(trend[best]), season[:, best]
 
 
 def holt_winters(df: DataFrame, by: list[str], t: str, y: str, period: int = 12,
                  grid: list[tuple[float, float, float]] | None = None, horizon: int = 36) -> DataFrame:
     """Additive trend, multiplicative season; (alpha, beta, gamma) of least squared error from a grid.
 
-    Every (series, grid point) is one row of a distributed table. A series with a
-    value that is not positive, or shorter than two periods, has no such model and
-    gives no forecast.
+    A series is one row, and meets all grid points there. A series with a value that is not positive, or shorter
+    than two periods, has no such model: its steps have a null forecast and a ``reason``.
     """
-    if grid is None:
-        steps = (0.1, 0.3, 0.5, 0.7, 0.9)
-        grid = [(a, b, g) for a in steps for b in steps for g in steps]
+    steps = (0.1, 0.3, 0.5, 0.7, 0.9)
+    points = np.array(grid if grid is not None else [(a, b, g) for a in steps for b in steps for g in steps], dtype=float)
     # One value per calendar period: the calendar bounds the array.
     packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(t, F.col(y).cast("double").alias("v")))).alias("__r")) \
-        .select(*by, F.transform("__r", lambda r: r["v"]).alias("__y")).filter(
-        (F.size("__y") >= 2 * period) & F.forall("__y", lambda v: v > 0))
-    points = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"), F.lit(float(g)).alias("gamma"))
-                       for a, b, g in grid])
-    tries = packed.select(*by, "__y", F.explode(points).alias("g")).select(*by, "__y", "g.*") \
-        .repartition(F.xxhash64(*by, "alpha", "beta", "gamma"))
-
-    @F.pandas_udf("struct<sse double, level double, trend double, season array<double>>")
-    def run(ys: pd.Series, a: pd.Series, b: pd.Series, g: pd.Series) -> pd.DataFrame:
-        rows = [_hw_run(np.array(v, dtype=float), period, *p) for v, *p in zip(ys, a, b, g)]
-        out = pd.DataFrame(rows, columns=["sse", "level", "trend", "season"])
-        out["season"] = out["season"].map(list)
-        return out
-
-    scored = tries.withColumn("f", run("__y", "alpha", "beta", "gamma")).withColumn("n", F.size("__y"))
-    best = scored.groupBy(*by).agg(F.min_by(F.struct("alpha", "beta", "gamma", "n", "f"),
-                                            F.struct("f.sse", "alpha", "beta", "gamma")).alias("m")).select(*by, "m.*")
-    step = best.select(*by, "alpha", "beta", "gamma", "n", "f.*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+        .select(*by, F.transform("__r", lambda r: r["v"]).alias("__y"))
+    reason = F.when(F.size("__y") < 2 * period, "shorter than two periods").when(
+        ~F.coalesce(F.forall("__y", lambda v: v > 0), F.lit(False)), "a value is not positive")
+
+    @F.pandas_udf("struct<alpha double, beta double, gamma double, sse double, level double, trend double, season array<double>>")
+    def run(series: pd.Series) -> pd.DataFrame:
+        out = []
+        for values in series:
+            best, *fit, season = _hw_grid(np.array(values, dtype=float), period, points) if values is not None else (0, *[None] * 3, None)
+            out.append([*(points[best] if values is not None else [None] * 3), *fit, None if season is None else list(season)])
+        return pd.DataFrame(out, columns=["alpha", "beta", "gamma", "sse", "level", "trend", "season"])
+
+    fitted = packed.withColumn("reason", reason).withColumn("f", run(F.when(F.col("reason").isNull(), F.col("__y"))))
+    step = fitted.select(*by, "reason", "f.*", F.size("__y").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     slot = (F.col("n") + F.col("step") - 1) % period
     return step.select(*by, "alpha", "beta", "gamma", "sse", "step",
-                       ((F.col("level") + F.col("step") * F.col("trend")) * F.get("season", slot)).alias("forecast"))
+                       ((F.col("level") + F.col("step") * F.col("trend")) * F.get("season", slot)).alias("forecast"), "reason")
 
 
 # ---- baselines and forecasts ------------------------------------------------
@@ -437,8 +434,9 @@ def cross_validate(df: DataFrame, by: list[str], ds: str, y: str, initial: int =
     return _fourier_predict(dimension_join(test, cut_lineage(models), [*by, "cutoff"]), ds, yearly, weekly, width)
 
 
-def segment_series(df: DataFrame, by: list[str], t: list[str], y: str, n: int = 24) -> DataFrame:
-    """Consecutive segments of exactly ``n`` values as arrays; a short tail is dropped."""
+def segment_series(df: DataFrame, by: list[str], t: list[str], y: str, n: int = 24, drop_last: bool = False) -> DataFrame:
+    """Consecutive segments of ``n`` values as arrays; the last may be shorter, and is left out if ``drop_last``."""
     rows = with_ordinal(df.select(*by, *t, y), t, by, name="__rn").withColumn("segment", F.floor((F.col("__rn") - 1) / n))
     packed = rows.groupBy(*by, "segment").agg(F.array_sort(F.collect_list(F.struct("__rn", F.col(y).alias("v")))).alias("__s"))
-    return packed.filter(F.size("__s") == n).select(*by, "segment", F.transform("__s", lambda s: s["v"]).alias("values"))
+    whole = packed.filter(F.size("__s") == n) if drop_last else packed
+    return whole.select(*by, "segment", F.transform("__s", lambda s: s["v"]).alias("values"))

@@ -64,12 +64,12 @@ def m06(spark, sf):
 
 @query("M07_band_split", f"""
 with r as (select o_orderkey, row_number() over (order by md5(o_orderkey || '|5'), o_orderkey) as rn, count(*) over () as n from orders)
-select o_orderkey, case when rn <= n * 7 // 10 then 'train' when rn <= n * 7 // 10 + n // 10 then 'val' else 'test' end as split
-from r where rn <= n * 7 // 10 + n // 10 + n // 5""")
+select o_orderkey, case when rn <= n * 7 // 10 then 'train' when rn <= n * 7 // 10 + n // 11 then 'val' else 'test' end as split
+from r""")
 def m07(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     n = o.count()
-    return smp.band_split(o, {"train": n * 7 // 10, "val": n // 10, "test": n // 5}, "o_orderkey", 5)
+    return smp.band_split(o, {"train": n * 7 // 10, "val": n // 11, "test": n // 13}, "o_orderkey", 5)
 
 
 @query("M08_head_tail_split", """

@@ -132,9 +132,10 @@ def x07(spark, sf):
 
 
 @query("X07_stem_documents", f"""with stems as ({_stem_sql()})
-select doc_id, string_agg(stem, ' ' order by pos) as stems from {TOKPOS} t join stems using (word) group by doc_id""")
+select doc_id, coalesce(stems, '') as stems from documents left join (
+  select doc_id, string_agg(stem, ' ' order by pos) as stems from {TOKPOS} t join stems using (word) group by doc_id) using (doc_id)""")
 def x07b(spark, sf):
-    tokens = doc_tokens(spark, sf).filter(F.size("tokens") > 0)
+    tokens = doc_tokens(spark, sf)
     return ops.stem(tokens, ["doc_id"], "tokens").select("doc_id", F.array_join("tokens", " ").alias("stems"))
 
 
@@ -152,12 +153,13 @@ def lemma_table(tokens):
 
 
 @query("X08_lemmatize", f"""
-with {LEMMAS} select doc_id, string_agg(coalesce(lemma, word), ' ' order by pos) as lemmas
-from {TOKPOS} t left join lemmas on word = form group by doc_id""")
+with {LEMMAS} select doc_id, coalesce(lemmas, '') as lemmas from documents left join (
+  select doc_id, string_agg(coalesce(lemma, word), ' ' order by pos) as lemmas
+  from {TOKPOS} t left join lemmas on word = form group by doc_id) using (doc_id)""")
 def x08(spark, sf):
     tokens = doc_tokens(spark, sf)
     lemmas = cut_lineage(lemma_table(tokens))
-    out = ops.lemmatize(tokens.filter(F.size("tokens") > 0), ["doc_id"], "tokens", lemmas)
+    out = ops.lemmatize(tokens, ["doc_id"], "tokens", lemmas)
     return out.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
 
@@ -260,32 +262,35 @@ def vocab500(spark, sf):
 
 
 @query("J04_encode_tokens", f"""
-select doc_id, string_agg(coalesce(id, 501)::varchar, ',' order by pos) as ids
-from {TOKPOS} t left join {VOCAB500} v on t.word = v.word group by doc_id""")
+select doc_id, coalesce(ids, '') as ids from documents left join (
+  select doc_id, string_agg(coalesce(id, 501)::varchar, ',' order by pos) as ids
+  from {TOKPOS} t left join {VOCAB500} v on t.word = v.word group by doc_id) using (doc_id)""")
 def j04(spark, sf):
-    tokens = doc_tokens(spark, sf).filter(F.size("tokens") > 0)
+    tokens = doc_tokens(spark, sf)
     out = ops.encode_tokens(tokens, ["doc_id"], "tokens", vocab500(spark, sf), unk=501)
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("J05_decode_tokens", f"""
-select doc_id, string_agg(coalesce(v.word, '<UNK>'), ' ' order by pos) as tokens
-from {TOKPOS} t left join {VOCAB500} v on t.word = v.word group by doc_id""")
+select doc_id, coalesce(tokens, '') as tokens from documents left join (
+  select doc_id, string_agg(coalesce(v.word, '<UNK>'), ' ' order by pos) as tokens
+  from {TOKPOS} t left join {VOCAB500} v on t.word = v.word group by doc_id) using (doc_id)""")
 def j05(spark, sf):
     vocab = vocab500(spark, sf)
-    tokens = doc_tokens(spark, sf).filter(F.size("tokens") > 0)
+    tokens = doc_tokens(spark, sf)
     ids = ops.encode_tokens(tokens, ["doc_id"], "tokens", vocab, unk=501)
     return ops.decode_tokens(ids, ["doc_id"], "ids", vocab).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("J11_remove_stop_words", f"""
 with s as (select word from {RANKED} where rank <= 25)
-select doc_id, string_agg(word, ' ' order by pos) as kept from {TOKPOS} where word not in (select word from s) group by doc_id""")
+select doc_id, coalesce(kept, '') as kept from documents left join (
+  select doc_id, string_agg(word, ' ' order by pos) as kept from {TOKPOS} where word not in (select word from s) group by doc_id) using (doc_id)""")
 def j11(spark, sf):
     tokens = doc_tokens(spark, sf)
     stops = cut_lineage(ops.most_common(tokens, "tokens", ["doc_id"], 25).select("word"))
     out = ops.remove_stop_words(tokens, ["doc_id"], "tokens", stops)
-    return out.filter(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("kept"))
+    return out.select("doc_id", F.array_join("tokens", " ").alias("kept"))
 
 
 PAD_SQL = "array_to_string({0}[1:32] || list_transform(range(32 - len({0}[1:32])), lambda i: '[PAD]'), ' ')"
@@ -298,8 +303,9 @@ def x20(spark, sf):
         "conv_id", "turn", *[F.array_join(tx.pad_truncate("tokens", 32, side, "[PAD]"), " ").alias(side) for side in ("post", "pre")])
 
 
-ENCODED = f"""(select doc_id, list(coalesce(id, 501) order by pos)::bigint[] as ids from {TOKPOS} t
-  left join {VOCAB500} v on t.word = v.word group by doc_id)"""
+ENCODED = f"""(select doc_id, coalesce(ids, []::bigint[]) as ids from documents left join (
+  select doc_id, list(coalesce(id, 501) order by pos)::bigint[] as ids from {TOKPOS} t
+  left join {VOCAB500} v on t.word = v.word group by doc_id) using (doc_id))"""
 
 
 def _masks(df, key):
@@ -313,13 +319,14 @@ select doc_id, array_to_string(body || list_transform(range(64 - len(body)), lam
   array_to_string(list_transform(body, lambda i: 1) || list_transform(range(64 - len(body)), lambda i: 0), ',') as attention_mask,
   array_to_string(list_transform(range(64), lambda i: 0), ',') as token_type_ids from b""")
 def x21(spark, sf):
-    tokens = doc_tokens(spark, sf).filter(F.size("tokens") > 0)
+    tokens = doc_tokens(spark, sf)
     return _masks(ops.encode_plus(tokens, ["doc_id"], "tokens", vocab500(spark, sf), 64, 502, 503, 501), ["doc_id"])
 
 
 @query("X21_encode_pair", f"""
 with t as (select conv_id, turn, unnest(range(1, len(tokens) + 1)) as p, tokens from {CONV}),
- e as (select conv_id, turn, list(coalesce(id, 501) order by p)::bigint[] as ids from t left join {VOCAB500} v on tokens[p] = v.word group by 1, 2),
+ w as (select conv_id, turn, list(coalesce(id, 501) order by p)::bigint[] as ids from t left join {VOCAB500} v on tokens[p] = v.word group by 1, 2),
+ e as (select conv_id, turn, coalesce(ids, []::bigint[]) as ids from conversations left join w using (conv_id, turn)),
  p as (select a.conv_id, a.turn, a.ids as a, b.ids as b, len(a.ids) as na, len(b.ids) as nb from e a join e b on a.conv_id = b.conv_id and a.turn + 1 = b.turn),
  k as (select *, case when na + nb <= 61 then na when nb <= 30 then 61 - nb else least(na, 31) end as ka from p),
  l as (select conv_id, turn, [502] || a[1:ka] || [503] as l, b[1:61 - ka] || [503] as r from k)
@@ -328,7 +335,7 @@ select conv_id, turn, array_to_string(l || r || list_transform(range(64 - len(l)
   array_to_string(list_transform(l, lambda i: 0) || list_transform(r, lambda i: 1) || list_transform(range(64 - len(l) - len(r)), lambda i: 0), ',') as token_type_ids
 from l""")
 def x21b(spark, sf):
-    conv = conv_tokens(spark, sf).filter(F.size("tokens") > 0)
+    conv = conv_tokens(spark, sf)
     after = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tokens").alias("reply"))
     pairs = conv.join(after, ["conv_id", "turn"])
     out = ops.encode_plus(pairs, ["conv_id", "turn"], "tokens", vocab500(spark, sf), 64, 502, 503, 501, pair="reply")
@@ -336,11 +343,12 @@ def x21b(spark, sf):
 
 
 @query("X22_roundtrip", f"""
-with t as (select conv_id, turn, unnest(range(1, len(tokens) + 1)) as p, tokens from {CONV})
-select conv_id, turn, string_agg(coalesce(v.word, '<UNK>'), ' ' order by p) as tokens
-from t left join {VOCAB500} v on tokens[p] = v.word group by 1, 2""")
+with t as (select conv_id, turn, unnest(range(1, len(tokens) + 1)) as p, tokens from {CONV}),
+ w as (select conv_id, turn, string_agg(coalesce(v.word, '<UNK>'), ' ' order by p) as tokens
+       from t left join {VOCAB500} v on tokens[p] = v.word group by 1, 2)
+select conv_id, turn, coalesce(tokens, '') as tokens from conversations left join w using (conv_id, turn)""")
 def x22(spark, sf):
-    conv = conv_tokens(spark, sf).filter(F.size("tokens") > 0)
+    conv = conv_tokens(spark, sf)
     out = ops.roundtrip(conv, ["conv_id", "turn"], "tokens", vocab500(spark, sf))
     return out.select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"))
 

@@ -137,11 +137,12 @@ with recursive s as (select priority, list(y order by ds) as y from {MONTH} grou
     list_transform(range(12), lambda k: case when k = i % 12 then 0.2::double * y[i + 1] / (l + b) + 0.8::double * se[k + 1] else se[k + 1] end),
     sse + (y[i + 1] - (l + b) * se[i % 12 + 1]) ** 2
   from r where i < len(y))
-select priority, step::int as step, {rnd_sql('(l + step * b) * se[(i + step - 1) % 12 + 1]', 2)} as forecast
-from r, (select unnest(range(1, 37)) as step) where i = len(y)""")
+select priority, step::int as step, {rnd_sql('(l + step * b) * se[(i + step - 1) % 12 + 1]', 2)} as forecast, null::varchar as reason
+from r, (select unnest(range(1, 37)) as step) where i = len(y)
+union all select priority, step::int, null, 'a value is not positive' from (select priority from {MONTH} group by 1 having min(y) <= 0), (select unnest(range(1, 37)) as step)""")
 def e06(spark, sf):
     out = ts.holt_winters(series(spark, sf, "M"), KEY, "ds", "y", 12, [(0.3, 0.1, 0.2)], 36)
-    return out.select("priority", "step", rnd("forecast", 2).alias("forecast"))
+    return out.select("priority", "step", rnd("forecast", 2).alias("forecast"), "reason")
 
 
 @query("E06_holt_winters", f"""
@@ -156,11 +157,12 @@ with recursive s as (select priority, list(y order by ds) as y from {MONTH} grou
     sse + (y[i + 1] - (l + t) * se[i % 12 + 1]) ** 2
   from (select *, alpha * y[i + 1] / se[i % 12 + 1] + (1 - alpha) * (l + t) as n from r where i < len(y))),
  best as (select *, row_number() over (partition by priority order by sse, alpha, beta, gamma) as rk from r where i = len(y))
-select priority, alpha, beta, gamma, step::int as step, {rnd_sql('(l + step * t) * se[(i + step - 1) % 12 + 1]', 1)} as forecast
-from best, (select unnest(range(1, 37)) as step) where rk = 1""")
+select priority, alpha, beta, gamma, step::int as step, {rnd_sql('(l + step * t) * se[(i + step - 1) % 12 + 1]', 1)} as forecast, null::varchar as reason
+from best, (select unnest(range(1, 37)) as step) where rk = 1
+union all select priority, null, null, null, step::int, null, 'a value is not positive' from (select priority from {MONTH} group by 1 having min(y) <= 0), (select unnest(range(1, 37)) as step)""")
 def e06b(spark, sf):
     out = ts.holt_winters(series(spark, sf, "M"), KEY, "ds", "y", 12, horizon=36)
-    return out.select("priority", "alpha", "beta", "gamma", "step", rnd("forecast", 1).alias("forecast"))
+    return out.select("priority", "alpha", "beta", "gamma", "step", rnd("forecast", 1).alias("forecast"), "reason")
 
 
 @query("E07_naive_forecast", f"""
@@ -236,7 +238,7 @@ def e11(spark, sf):
 
 @query("E12_segment_series", """
 with r as (select *, (row_number() over (partition by event_type order by ts, event_id) - 1) // 24 as segment from events)
-select event_type, segment, string_agg((value * 100)::bigint::varchar, ',' order by ts, event_id) as values from r group by 1, 2 having count(*) = 24""")
+select event_type, segment, string_agg((value * 100)::bigint::varchar, ',' order by ts, event_id) as values from r group by 1, 2""")
 def e12(spark, sf):
     df = table(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
     out = ts.segment_series(df, ["event_type"], ["ts", "event_id"], "cents", 24)

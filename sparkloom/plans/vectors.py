@@ -135,6 +135,7 @@ def t08(spark, sf):
     return emb(spark, sf).select("vec_id", vec.argmax("embedding").alias("best"))
 
 
+# Of each query's ten nearest vectors those over the threshold: k = 10 is part of the question.
 @query("T10_above_threshold", f"select query_id::bigint as query_id, doc_id, rank from ({TOP.format(c=CENTROID, k=10)}) where score >= 0.3::double")
 def t10(spark, sf):
     top = sim.similar_topk(centroids(spark, sf), docs_of(spark, sf), 10)

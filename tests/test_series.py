@@ -116,7 +116,8 @@ def test_holt_winters_finds_a_pure_season(spark):
     out = ts.holt_winters(df, ["k"], "t", "y", 4, horizon=8).orderBy("step").collect()
     exp = [(100 + 2 * i) * season[i % 4] for i in range(40, 48)]
     assert np.allclose([r.forecast for r in out], exp, rtol=0.05)
-    assert ts.holt_winters(df.limit(7), ["k"], "t", "y", 4).count() == 0
+    short = ts.holt_winters(df.limit(7), ["k"], "t", "y", 4, horizon=2).collect()
+    assert [(r.forecast, r.reason) for r in short] == [(None, "shorter than two periods")] * 2
 
 
 def test_fourier_recovers_trend_and_season(spark):

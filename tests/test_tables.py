@@ -78,6 +78,8 @@ def test_histogram_matches_numpy(spark):
 def test_rare_and_frequent(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [("c",)], "s string")
     assert {r.s: r["count"] for r in agg.value_counts(agg.collapse_rare(df, "s", 2), "s").collect()} == {"a": 5, "OTHER": 3}
+    rare = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "s string")
+    assert sorted((r.s for r in agg.collapse_rare(rare, "s", 1).collect()), key=str) == [None, "OTHER", "a", "a"]
     assert {r.s for r in agg.filter_frequent(df, "s", 1).collect()} == {"a", "b"}
 
 
@@ -109,7 +111,12 @@ def test_classification_metrics(spark):
     assert m["accuracy"] == pytest.approx(3 / 7) == m["micro_f1"] and m["macro_recall"] == pytest.approx((0.5 + 1 + 0) / 3)
     c = {(r.actual, r.predicted): r.n for r in met.confusion_matrix(df, "y", "p").collect()}
     assert len(c) == 9 and c[2, 2] == 0 and c[2, 0] == 2
-    assert met.confusion_matrix(df, "y", "p", max_dense=2).count() == 5
+    assert met.confusion_counts(df, "y", "p").count() == 5
+    with pytest.raises(ValueError, match="classes"):
+        met.confusion_matrix(df, "y", "p", max_classes=2)
+    nulls = spark.createDataFrame([(None, 0), (1, 0), (1, 1)], "y int, p int")
+    n = {(r.actual, r.predicted): r.n for r in met.confusion_matrix(nulls, "y", "p").collect()}
+    assert n[None, 0] == 1 and n[1, 0] == 1 and sum(n.values()) == 3 and len(n) == 9
 
 
 def test_regression_metrics(spark):
@@ -153,7 +160,9 @@ def test_splits_cover_and_do_not_overlap(classes):
     s = smp.stratified_split(classes, "c", 0.2, "id", 3).groupBy("c").pivot("split").count().collect()
     assert all(r.test == int((r.test + r.train) * 0.2 + 0.5) for r in s)
     b = {r.split: r["count"] for r in smp.band_split(classes, {"a": 100, "b": 50}, "id", 1).groupBy("split").count().collect()}
-    assert b == {"a": 100, "b": 50}
+    assert b == {"a": 100, "b": 500}
+    c = smp.band_split(classes, {"a": 700, "b": 1, "c": 1}, "id", 1).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in c} == {"a": 600}
     u = {r.split: r["count"] for r in smp.random_split(classes, {"a": 1, "b": 1, "c": 2}, "id", 1).groupBy("split").count().collect()}
     assert sum(u.values()) == 600 and abs(u["c"] - 300) < 60
     f = {r.fold: r["count"] for r in smp.block_kfold(classes.limit(598), ["id"], 5).groupBy("fold").count().collect()}

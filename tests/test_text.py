@@ -157,6 +157,8 @@ def test_stop_words_by_list_and_by_table(corpus, spark, monkeypatch):
         monkeypatch.setattr(ops, "fits_broadcast", check)
         got = ops.remove_stop_words(corpus, ["doc"], "tokens", stops).orderBy("doc").collect()
         assert [r.tokens for r in got] == exp
+        odd = spark.createDataFrame([(1, None), (2, ["b", None, "a"]), (3, [])], "doc int, tokens array<string>")
+        assert [r.tokens for r in ops.remove_stop_words(odd, ["doc"], "tokens", stops).orderBy("doc").collect()] == [None, ["b"], []]
 
 
 def test_suggest_backs_off(corpus, spark):
