@@ -157,4 +157,6 @@ def test_future_frame_and_segments(series):
     assert ts.future_frame(df.select("k", "t"), ["k"], "t", 5).count() == 2 * (N + 5)
     assert ts.future_frame(df.select("k", "t"), ["k"], "t", 5, include_history=False).count() == 10
     seg = ts.segment_series(df, ["k"], ["t"], "y", 24).filter("k = 'ar'").orderBy("segment").collect()
-    assert len(seg) == N // 24 and seg[1]["values"] == [float(v) for v in data["ar"][24:48]]
+    assert len(seg) == -(-N // 24) and len(seg[-1]["values"]) == N % 24
+    assert ts.segment_series(df, ["k"], ["t"], "y", 24, drop_last=True).filter("k = 'ar'").count() == N // 24
+    assert seg[1]["values"] == [float(v) for v in data["ar"][24:48]]
