@@ -24,13 +24,13 @@ def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, D
     for c in cols:
         classes[c] = cut_lineage(label_classes(df, c))
         side = classes[c].select(F.col("value").alias(c), F.col("id").alias("__id"))
-        df = dimension_join(df, side, c, "left").withColumn(c, F.col("__id")).drop("__id")
+        df = dimension_join(df, side, c, "left", probe=True).withColumn(c, F.col("__id")).drop("__id")
     return df.select(*order), classes
 
 
 def label_decode(df: DataFrame, col: str, classes: DataFrame) -> DataFrame:
     side = classes.select(F.col("id").alias(col), F.col("value").alias("__value"))
-    return dimension_join(df, side, col, "left").withColumn(col, F.col("__value")).drop("__value").select(*df.columns)
+    return dimension_join(df, side, col, "left", probe=True).withColumn(col, F.col("__value")).drop("__value").select(*df.columns)
 
 
 def get_dummies(df: DataFrame, cols: list[str], drop_first: bool = True, max_categories: int = 10_000) -> DataFrame:

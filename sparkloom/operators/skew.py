@@ -18,6 +18,8 @@ def _row_bytes(df: DataFrame):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 16)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            parts.append(F.greatest(F.size(c), F.lit(0)) * 8 + 16)
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16)
         else:
@@ -27,8 +29,8 @@ def _row_bytes(df: DataFrame):
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                    max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure ``df``: its rows and bytes, summed where the data is."""
-    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    """Whether ``df`` has at most so many rows and bytes; no more than ``max_rows`` + 1 rows of it are read."""
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
     return n <= max_rows and (size or 0) <= max_bytes
 
 
@@ -43,21 +45,23 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001,
 
 def dimension_join(fact: DataFrame, dim: DataFrame, on: list[str] | str,
                    how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS,
-                   max_bytes: int = MAX_BROADCAST_BYTES, hot_share: float = 0.001,
-                   hot_floor: int = 100_000, derived: bool = False) -> DataFrame:
+                   max_bytes: int = MAX_BROADCAST_BYTES, hot_share: float | None = None,
+                   hot_floor: int = 100_000, derived: bool = False, probe: bool = False) -> DataFrame:
     """Join a fact to a dimension whose key is unique.
 
-    A dimension measured to be small is broadcast, so the fact is not shuffled.
-    Otherwise rows of hot keys meet the few dimension rows they need by a
-    broadcast of proven size, and all other keys take the ordinary shuffle join.
-    ``derived`` dimensions (aggregates of a large table) are stored first, so that
-    measuring and joining them computes them once.
+    By default a plain join, no job before it: file statistics decide on a broadcast, and adaptive
+    execution splits skewed partitions. With ``probe`` a dimension found small by a bounded read is broadcast,
+    so the fact is not shuffled; ``derived`` dimensions (aggregates of a large table) are stored first and then
+    probed. With ``hot_share`` rows of keys above that share of all rows meet the few dimension rows
+    they need by a broadcast of proven size, and the others take the plain join.
     """
     on = [on] if isinstance(on, str) else list(on)
     if derived:
         dim = cut_lineage(dim)
-    if fits_broadcast(dim, max_rows, max_bytes):
+    if (derived or probe) and fits_broadcast(dim, max_rows, max_bytes):
         return fact.join(F.broadcast(dim), on, how)
+    if hot_share is None:
+        return fact.join(dim, on, how)
     hot = hot_keys(fact, on, hot_share, hot_floor)
     is_hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     tagged = fact.join(is_hot, on, "left")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
+from math import sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import text as tx
@@ -20,16 +24,42 @@ def word_counts(df: DataFrame, tokens: str) -> DataFrame:
     return df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def per_document(fn: Callable, returns: str):
+    """Column function that applies ``fn`` to one array column; a document stays one row, so no text is moved. Null is empty."""
+    @F.pandas_udf(returns)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield pd.Series([fn([] if a is None else a) for a in arrays])
+
+    return run
+
+
+def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = 500_000) -> Callable[[], dict] | None:
+    """A dictionary that every worker can hold, if the table has at most ``max_rows`` rows; else None."""
+    rows = table.select(key, value).limit(max_rows + 1).collect() if fits_broadcast(table.select(key, value), max_rows) else None
+    if rows is None or len(rows) > max_rows:
+        return None
+    shared = table.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows if r[0] is not None})
+    return lambda: shared.value
+
+
 def norm_freq(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Word counts of every document divided by its largest count."""
-    # One shuffle of the documents; counts and maxima per document then stay in place.
-    cnt = (df.repartition(key).select(key, F.explode(tokens).alias("word"))
-           .groupBy(key, "word").agg(F.count(F.lit(1)).alias("cnt")))
-    return cnt.withColumn("freq", F.col("cnt") / F.max("cnt").over(Window.partitionBy(key)))
+    """Word counts of every document divided by its largest count, counted where the document is."""
+    def counted(words):
+        counts = Counter(w for w in words if w is not None)
+        top = max(counts.values(), default=1)
+        return [(w, c, c / top) for w, c in counts.items()]
+
+    return df.select(key, F.inline(per_document(counted, "array<struct<word string, cnt bigint, freq double>>")(tokens)))
 
 
 def distinct_tokens(df: DataFrame, tokens: str) -> DataFrame:
-    return df.select(F.explode(tokens).alias("token")).distinct().orderBy("token")
+    return distinct_words(df, tokens, "token").orderBy("token")
+
+
+def distinct_words(df: DataFrame, tokens: str | Column, name: str = "word") -> DataFrame:
+    """Distinct elements of an array column; those of a row are made distinct before they are taken apart."""
+    return df.select(F.explode(F.array_distinct(tokens)).alias(name)).distinct()
 
 
 def first_seen(df: DataFrame, tokens: str, order_by: list[str]) -> DataFrame:
@@ -76,24 +106,31 @@ def first_seen_vocab(df: DataFrame, tokens: str, order_by: list[str]) -> DataFra
 def set_vocab(df: DataFrame, tokens: str, specials: tuple[str, ...] = ("[PAD]", "[SEP]", "[CLS]", "[UNK]")) -> DataFrame:
     """Distinct words and special tokens, 0-based ids in sorted order."""
     extra = df.sparkSession.createDataFrame([(s,) for s in specials], "word string")
-    all_words = df.select(F.explode(tokens).alias("word")).unionByName(extra).distinct()
+    all_words = distinct_words(df, tokens).unionByName(extra).distinct()
     return with_ordinal(all_words, ["word"], name="id", derived=True).withColumn("id", F.col("id") - 1)
 
 
 def char_vocab(df: DataFrame, text: str) -> DataFrame:
     """Sorted distinct characters with 0-based ids."""
-    chars = df.select(F.explode(tx.characters(text)).alias("word")).distinct()
+    chars = distinct_words(df, tx.characters(text))
     return with_ordinal(chars, ["word"], name="id", derived=True).withColumn("id", F.col("id") - 1)
 
 
 def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, unk: int | None = None,
                   name: str = "ids") -> DataFrame:
-    """Token arrays to id arrays; a word without an id gets ``unk`` (or is left out when unk is None).
+    """Token arrays to id arrays; a word without an id gets ``unk`` (or is left out when unk is None); null gives an empty array.
 
-    Texts are spread by key before they are taken apart, so putting the ids back
-    together needs no further shuffle.
+    With a vocabulary that workers can hold, a document stays one row. With a larger one its words are joined,
+    and ``key`` must tell the rows apart.
     """
-    flat = df.repartition(*key).select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+    ids = small_lookup(vocab, "word", "id")
+    if ids is not None:
+        def encode(words):
+            found = (ids().get(w, unk) for w in words)
+            return [i for i in found if i is not None]
+
+        return df.select(*key, per_document(encode, "array<bigint>")(tokens).alias(name))
+    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
     known = dimension_join(flat, vocab.select("word", "id"), "word", "left")
     value = F.coalesce("id", F.lit(unk).cast("bigint")) if unk is not None else F.col("id")
     item = F.when(F.col("pos").isNotNull() & value.isNotNull(), F.struct("pos", value.alias("id")))
@@ -103,8 +140,14 @@ def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
 
 def decode_tokens(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, pad: int = 0, unknown: str = "<CLS>",
                   name: str = "tokens") -> DataFrame:
-    """Id arrays to words: padding is dropped, an id without a word gives ``unknown``."""
-    flat = df.repartition(*key).select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    """Id arrays to words: padding and nulls are dropped, an id without a word gives ``unknown``."""
+    words = small_lookup(vocab, "id", "word")
+    if words is not None:
+        def decode(found):
+            return [words().get(int(i), unknown) for i in found if i is not None and i != pad]
+
+        return df.select(*key, per_document(decode, "array<string>")(ids).alias(name))
+    flat = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
     known = dimension_join(flat, vocab.select("id", "word"), "id", "left")
     kept = F.col("pos").isNotNull() & (F.col("id") != pad)
     item = F.when(kept, F.struct("pos", F.coalesce("word", F.lit(unknown)).alias("word")))
@@ -151,9 +194,19 @@ def encode_plus(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, ma
 # ---- words to base forms ----------------------------------------------------
 
 def replace_words(df: DataFrame, key: list[str], tokens: str, mapping: DataFrame, name: str = "tokens") -> DataFrame:
-    """Replace words by a (word, base) lookup; words without an entry stay."""
-    flat = df.repartition(*key).select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
-    known = dimension_join(flat, mapping.select("word", "base"), "word", "left", derived=True)
+    """Replace words by a (word, base) lookup; words without an entry stay, null gives an empty array.
+
+    A lookup that workers can hold is applied in place. A larger one is joined with the words; ``key`` must then tell the rows apart.
+    """
+    mapping = cut_lineage(mapping.select("word", "base"))
+    bases = small_lookup(mapping, "word", "base")
+    if bases is not None:
+        def replace(words):
+            return [w if (base := bases().get(w)) is None else base for w in words]
+
+        return df.select(*key, per_document(replace, "array<string>")(tokens).alias(name))
+    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+    known = dimension_join(flat, mapping, "word", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("base", "word").alias("word")))
     packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
     return packed.select(*key, F.transform("__s", lambda s: s["word"]).alias(name))
@@ -161,7 +214,7 @@ def replace_words(df: DataFrame, key: list[str], tokens: str, mapping: DataFrame
 
 def stem_vocab(df: DataFrame, tokens: str) -> DataFrame:
     """Every distinct word once, with its stem."""
-    return df.select(F.explode(tokens).alias("word")).distinct().withColumn("base", porter(F.col("word")))
+    return distinct_words(df, tokens).withColumn("base", porter(F.col("word")))
 
 
 def stem(df: DataFrame, key: list[str], tokens: str) -> DataFrame:
@@ -225,8 +278,17 @@ def tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_df: float =
           vocab: DataFrame | None = None) -> DataFrame:
     """L2-normalised TF-IDF weights in long form (key, term, weight)."""
     vocab = vocab if vocab is not None else cut_lineage(tfidf_vocab(df, key, tokens, min_df, max_df, max_features))
-    # Words outside the vocabulary are dropped before anything is counted.
-    known = dimension_join(df.repartition(key).select(key, F.explode(tokens).alias("term")), vocab, "term")
+    idf = small_lookup(vocab, "term", "idf")
+    if idf is not None:
+        def weigh(words):
+            known = idf()
+            raw = {w: c * known[w] for w, c in Counter(words).items() if w in known}
+            length = sqrt(sum(x * x for x in raw.values()))
+            return [(w, x / length) for w, x in raw.items()]
+
+        return df.select(key, F.inline(per_document(weigh, "array<struct<term string, weight double>>")(tokens)))
+    # A vocabulary too large to hold: its words are joined, those outside it are dropped before anything is counted.
+    known = dimension_join(df.select(key, F.explode(tokens).alias("term")), vocab, "term")
     raw = known.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")) \
         .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -241,28 +303,26 @@ def top_fraction(df: DataFrame, group: str, score: str, frac: float, tie: str) -
     return ranked.filter(F.col("rank") <= F.floor(F.col("__n") * F.lit(frac))).drop("__n")
 
 
-def sentence_scores(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Sum over a sentence's alphabetic words of their max-normalised document frequency."""
-    sents = df.select(key, F.posexplode(tx.split_sentences(col)).alias("spos", "sentence"))
-    cnt = (sents.select(key, "spos", F.explode(tx.alphabetic(tx.words("sentence"))).alias("word"))
-           .groupBy(key, "spos", "word").agg(F.count(F.lit(1)).alias("c")))
-    total = cnt.withColumn("total", F.sum("c").over(Window.partitionBy(key, "word")))
-    freq = total.withColumn("freq", F.col("total") / F.max("total").over(Window.partitionBy(key)))
-    return freq.groupBy(key, "spos").agg(F.round(F.sum(F.col("c") * F.col("freq")), 9).alias("score"))
+def best_sentences(frac: float) -> Callable:
+    """Places of the best sentences, given as lists of their words, by falling score: the sum over a sentence's words
+    of their count in the document divided by the largest one. Sentences without words have no score; ties go to the earlier."""
+    def choose(sentences):
+        sentences = [[] if s is None else list(s) for s in sentences]
+        counts = Counter(w for s in sentences for w in s)
+        top = max(counts.values(), default=1)
+        scored = [(-round(sum(counts[w] / top for w in s), 9), i) for i, s in enumerate(sentences) if s]
+        return [i for _, i in sorted(scored)[:int(frac * len(scored))]]
 
+    return choose
 
-def summarize(df: DataFrame, key: str, col: str, frac: float = 0.30) -> DataFrame:
-    """Extractive summary: the best sentences in order of score, joined by a space.
 
-    Documents are spread by key once; words, sentence scores and the choice of
-    sentences then stay where the document is.
-    """
-    docs = df.select(key, col).repartition(key)
-    best = top_fraction(sentence_scores(docs, key, col), key, "score", frac, "spos")
-    order = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "spos"))).alias("__o"))
-    pick = F.array_join(F.transform("__o", lambda s: F.get(F.col("__s"), s["spos"])), " ")
-    return (docs.join(order, key, "left").withColumn("__s", tx.split_sentences(col))
-            .select(key, F.coalesce(pick, F.lit("")).alias("summary"), F.coalesce(F.size("__o"), F.lit(0)).alias("sentences")))
+def summarize(df: DataFrame, key: str, col: str, frac: float = 0.30) -> DataFrame:
+    """Extractive summary: the best sentences in order of score, joined by a space. A document stays one row."""
+    docs = df.select(key, F.coalesce(tx.split_sentences(col), F.array().cast("array<string>")).alias("__s"))
+    words = F.transform("__s", lambda s: tx.alphabetic(tx.words(s)))
+    order = docs.select(key, "__s", per_document(best_sentences(frac), "array<int>")(words).alias("__o"))
+    pick = F.array_join(F.transform("__o", lambda i: F.get(F.col("__s"), i)), " ")
+    return order.select(key, pick.alias("summary"), F.size("__o").alias("sentences"))
 
 
 # ---- next-word suggestion ---------------------------------------------------
@@ -291,7 +351,7 @@ def suggest(df: DataFrame, key: list[str], tokens: str, model: DataFrame, n: int
         for size in range(n, 0, -1):
             ctx = F.when(F.size("__t") >= size, F.array_join(F.slice("__t", F.size("__t") - (size - 1), F.lit(size)), " "))
             side = best.filter(F.col("size") == size).select(F.col("context").alias("__c"), F.col("next").alias(f"__n{size}"))
-            out = dimension_join(out.withColumn("__c", ctx), side, "__c", "left").drop("__c")
+            out = dimension_join(out.withColumn("__c", ctx), side, "__c", "left", probe=True).drop("__c")
         nxt = F.coalesce(*[F.col(f"__n{s}") for s in range(n, 0, -1)])
         grown = [F.when(nxt.isNotNull(), F.concat(c, F.array(nxt))).otherwise(F.col(c)).alias(c) for c in ("__t", "suggested")]
         out = out.select(*key, *grown)

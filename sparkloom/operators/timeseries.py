@@ -369,7 +369,7 @@ def fourier_forecast(df: DataFrame, by: list[str], ds: str, y: str, periods: int
     x = fourier_terms(ds, F.lit(ORIGIN).cast("date"), yearly, weekly)
     models = _fourier_models(gram(df, by, x, F.col(y).cast("double")), by)
     frame = future_frame(df, by, ds, periods, freq)
-    return _fourier_predict(dimension_join(frame, cut_lineage(models), by), ds, yearly, weekly, width)
+    return _fourier_predict(dimension_join(frame, cut_lineage(models), by, probe=True), ds, yearly, weekly, width)
 
 
 def cutoff_bounds(df: DataFrame, by: list[str], ds: str, initial: int, period: int, horizon: int) -> DataFrame:
@@ -431,7 +431,7 @@ def cross_validate(df: DataFrame, by: list[str], ds: str, y: str, initial: int =
         *by, cutoff, F.sum("n").over(upto).alias("n"),
         F.array(*[F.sum(F.get("gram", F.lit(i))).over(upto) for i in range(cells)]).alias("gram"))
     models = _fourier_models(sums, [*by, "cutoff"])
-    return _fourier_predict(dimension_join(test, cut_lineage(models), [*by, "cutoff"]), ds, yearly, weekly, width)
+    return _fourier_predict(dimension_join(test, cut_lineage(models), [*by, "cutoff"], probe=True), ds, yearly, weekly, width)
 
 
 def segment_series(df: DataFrame, by: list[str], t: list[str], y: str, n: int = 24, drop_last: bool = False) -> DataFrame:

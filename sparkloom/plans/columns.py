@@ -1,5 +1,7 @@
 """Projections, predicates, nulls and conditionals."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sparkloom.operators import relational as rel
@@ -45,14 +47,15 @@ def p06(spark, sf):
 
 
 @query("P08_columns_of_type", """
-select column_name, kind from (values ('p_partkey','int64'), ('p_name','object'), ('p_brand','object'),
-  ('p_type','object'), ('p_retailprice','float')) t(column_name, kind)
-where (select count(*) from part) > 0""")
+select p_partkey, md5(concat_ws('|', p_name, p_brand, p_type)) as text_columns, p_partkey as whole_columns,
+  cast(floor(p_retailprice * 100 + 0.5) as bigint) as float_cents from part""")
 def p08(spark, sf):
     part = table(spark, sf, "part")
-    pairs = [(c, k) for k in ("object", "int64", "float") for c in rel.columns_of_type(part, k)]
-    seen = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind")) for c, k in pairs])
-    return part.agg(F.count("*").alias("n")).filter("n > 0").select(F.inline(seen))
+    text, whole, floats = (part.select(*rel.columns_of_type(part, k)).columns for k in ("object", "int64", "float"))
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in floats])
+    return part.select("p_partkey", F.md5(F.concat_ws("|", *text)).alias("text_columns"),
+                       reduce(lambda a, b: a + b, [F.col(c) for c in whole]).alias("whole_columns"),
+                       F.floor(total * 100 + 0.5).cast("bigint").alias("float_cents"))
 
 
 @query("P09_cast_cols", "select o_orderkey::varchar as key_text, round(o_totalprice)::bigint as price_up, "

@@ -106,7 +106,7 @@ def test_hot_key_join_equals_plain_join(spark, how):
     fact = spark.createDataFrame([(None if i % 10 == 0 else (1 if i % 2 else i % 50), i) for i in range(2000)], "k int, x int")
     dim = spark.createDataFrame([(k, f"d{k}") for k in range(40)], "k int, name string")
     plain = fact.join(dim, "k", how)
-    for kw in ({}, {"max_rows": 5, "hot_floor": 100}, {"max_rows": 5, "hot_floor": 10_000}):
+    for kw in ({}, {"probe": True}, {"hot_share": 0.001, "hot_floor": 100}, {"hot_share": 0.001, "hot_floor": 10_000}):
         got = dimension_join(fact, dim, "k", how, **kw)
         assert sorted(map(str, got.select("k", "x", "name").collect())) == sorted(map(str, plain.select("k", "x", "name").collect()))
 
