@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -128,10 +129,8 @@ def predict_multilabel(df: DataFrame, models: dict) -> DataFrame:
 def random_search(estimator: Estimator, space: dict, evaluator: Evaluator, xy: DataFrame, key: str | list[str], n_iter: int = 10,
                   folds: int = 5, seed: int = 7, parallelism: int = 4):
     """Cross-validated random draws from ``space`` (param: list of values): (best model, one row per draw)."""
-    rng, draws = random.Random(seed), []
-    while len(draws) < n_iter:
-        draw = {p: rng.choice(values) for p, values in space.items()}
-        draws.append(draw)
+    every = [dict(zip(space, values)) for values in product(*space.values())]
+    draws = random.Random(seed).sample(every, min(n_iter, len(every)))  # no setting twice
     maps = [reduce(lambda b, kv: b.addGrid(kv[0], [kv[1]]), d.items(), ParamGridBuilder()).build()[0] for d in draws]
     folded = xy.withColumn("__fold", F.least(F.floor(unit_hash(key, seed) * folds), F.lit(folds - 1)).cast("int"))
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="__fold",

@@ -73,6 +73,11 @@ def _lags(df: DataFrame, col: str, by: list[str], t: str, n: int, calendar: bool
 
 # ---- diagnostics ------------------------------------------------------------
 
+def lag_bound(n: int) -> int:
+    """Most lags tried for a series of ``n`` values."""
+    return max(0, min(ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
+
+
 def adf_test(df: DataFrame, by: list[str], t: str, y: str, max_lag: int | None = None, auto_lag: bool = True,
              calendar: bool = True) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant; the lag order is chosen by AIC.
@@ -81,9 +86,9 @@ def adf_test(df: DataFrame, by: list[str], t: str, y: str, max_lag: int | None =
     both the common sample of the order search and the longer final sample.
     """
     stats = cut_lineage(df.groupBy(*by).agg(F.count(y).alias("__n"), F.avg(y).alias("__m"), F.stddev_pop(y).alias("__s")))
-    if max_lag is None:
-        longest = stats.agg(F.max("__n")).first()[0] or 1
-        max_lag = max(0, min(int(ceil(12 * (longest / 100) ** 0.25)), longest // 2 - 2))
+    own_bound = max_lag is None
+    if own_bound:  # as many lags are laid out as the longest series needs; each series keeps to its own bound
+        max_lag = lag_bound(stats.agg(F.max("__n")).first()[0] or 1)
     scaled = dimension_join(df.select(*by, t, y), stats, by).withColumn(
         "__y", (F.col(y) - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0))
     base = frame_windows(scaled, lambda w: {"__p": F.lag("__y", 1).over(w), "__i": F.row_number().over(w)} if calendar
@@ -102,7 +107,7 @@ def adf_test(df: DataFrame, by: list[str], t: str, y: str, max_lag: int | None =
             return float(part["n"].sum()), _square(np.sum(np.stack(part["gram"].to_numpy()), axis=0))
 
         total = int(pdf["n"].sum()) + 1
-        top = min(max_lag, max(0, total // 2 - 2), int(pdf["__depth"].max()))
+        top = min(lag_bound(total) if own_bound else max_lag, max(0, total // 2 - 2), int(pdf["__depth"].max()))
         best = top
         if auto_lag and top:
             n, g = at_least(top)

@@ -182,6 +182,19 @@ def a17(spark, sf):
     return met.auroc_ovr(df, "scores", "label").select("class", "support", rnd("auroc", 6).alias("auroc"))
 
 
+@query("A17_macro_auroc", f"""
+with s as (select label, pos::int as class, embedding[pos + 1] as score
+           from (select label, embedding, unnest(range(10)) as pos from embeddings)),
+ r as (select class, label = class as is_pos, rank() over (partition by class order by score)
+         + (count(*) over (partition by class, score) - 1) / 2.0 as rk from s),
+ a as (select (sum(rk) filter (is_pos) - count(*) filter (is_pos) * (count(*) filter (is_pos) + 1) / 2.0)
+         / nullif(count(*) filter (is_pos) * count(*) filter (not is_pos), 0) as auroc from r group by class)
+select {rnd_sql('avg(auroc)', 6)} as auroc, count(auroc) as classes from a""")
+def a17_macro(spark, sf):
+    df = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("scores"))
+    return met.macro_auroc(df, "scores", "label").select(rnd("auroc", 6).alias("auroc"), "classes")
+
+
 @query("A17_recall_dice", f"""
 with p as (select label as y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as p from embeddings)
 select {rnd_sql('avg((y = p)::int)')} as recall, {rnd_sql('avg((y = p)::int)')} as dice from p""")

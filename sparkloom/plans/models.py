@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import words
 from sparkloom.operators import models as mdl
 from sparkloom.operators.features import assemble_xy, label_encode
-from sparkloom.operators.metrics import auroc_ovr, classification_metrics, regression_metrics
+from sparkloom.operators.metrics import classification_metrics, macro_auroc, regression_metrics
 from sparkloom.operators.sampling import block_kfold, random_split, user_holdout
 from sparkloom.plans.joins import RATINGS, ratings
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
@@ -70,7 +70,7 @@ def _search(spark, sf):
     rf = RandomForestRegressor(seed=7)
     space = {rf.numTrees: [4, 8, 12], rf.maxDepth: [3, 5], rf.minInstancesPerNode: [1, 5, 10]}
     xy = assemble_xy(lines(spark, sf), X, Y, LINE)
-    return mdl.random_search(rf, space, RegressionEvaluator(metricName="mse"), xy, LINE, n_iter=4, folds=3)
+    return mdl.random_search(rf, space, RegressionEvaluator(metricName="mse"), xy, LINE, n_iter=10, folds=5)
 
 
 @query("L04_random_search")
@@ -202,7 +202,7 @@ def c04(spark, sf):
                              ("holdout", held.filter("split = 'base'"), held.filter("split = 'test'"))):
         pred = cut_lineage(mdl.predict_ratings(mdl.fit_als(base, rank=8, iterations=5), test))
         near = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda c: -F.abs(F.col("prediction") - c).cast("double"))
-        auc = auroc_ovr(pred.select((F.col("rating") - 1).alias("y"), near.alias("s")), "s", "y").agg(F.avg("auroc").alias("auroc"))
+        auc = macro_auroc(pred.select((F.col("rating") - 1).alias("y"), near.alias("s")), "s", "y")
         err = regression_metrics(pred, "rating", "prediction")
         named = F.array(*[F.struct(F.lit(name).alias("split"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("rmse", "mae")])
         out += [err.select(F.inline(named)), auc.select(F.lit(name), F.lit("auroc"), "auroc")]

@@ -103,12 +103,19 @@ def export_csv(df: DataFrame, uri: str, sep: str = ";", compression: str = "gzip
      .option("compression", compression).csv(uri))
 
 
-def external_csv_table(spark: SparkSession, name: str, uri: str, schema: str, sep: str = ",") -> DataFrame:
-    """Named view over CSV files: declared schema, one header row, quoted newlines,
-    surplus trailing values dropped."""
+def external_csv_table(spark: SparkSession, name: str, uri: str, schema: str, sep: str = ",",
+                       multi_line: bool = True, required: tuple[str, ...] = ()) -> DataFrame:
+    """Named view over CSV files: declared schema, one header row, surplus trailing values dropped.
+
+    With ``multi_line`` quoted newlines are read, and each file is one task; without, large files are split.
+    A null in a ``required`` column is an error when the row is read.
+    """
     df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("multiLine", True).option("escape", '"').option("sep", sep)
+          .option("multiLine", multi_line).option("escape", '"').option("sep", sep)
           .option("mode", "PERMISSIVE").csv(uri))
+    for c in required:
+        missing = F.raise_error(F.lit(f"{name}: null in required column {c}")).cast(df.schema[c].dataType)
+        df = df.withColumn(c, F.coalesce(F.col(c), missing))
     df.createOrReplaceTempView(name)
     return df
 

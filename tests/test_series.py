@@ -45,6 +45,19 @@ def test_adf(series, calendar):
     assert got["ar"].stationary and not got["walk"].stationary
 
 
+def test_adf_lag_bound_is_the_series_own(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(k, np.datetime64("2020-01-01") + i, rng.gauss(0, 1)) for k, n in (("short", 60), ("long", 900)) for i in range(n)]
+    df = spark.createDataFrame([(k, str(t), v) for k, t, v in rows], "k string, t string, y double").withColumn("t", F.col("t").cast("date"))
+    both = {r.k: r for r in ts.adf_test(df, ["k"], "t", "y").collect()}
+    for k in ("short", "long"):
+        alone = ts.adf_test(df.filter(F.col("k") == k), ["k"], "t", "y").first()
+        assert (alone.lags_used, alone.n_obs) == (both[k].lags_used, both[k].n_obs)
+        assert alone.adf_stat == pytest.approx(both[k].adf_stat, rel=1e-6)
+    assert (ts.lag_bound(60), ts.lag_bound(900), ts.lag_bound(3)) == (11, 21, 0)
+
+
 def test_adf_p_values():
     # Published 1 / 5 / 10 percent points of the asymptotic distribution.
     for stat, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):

@@ -236,6 +236,11 @@ def test_csv_round_trip_and_external_table(spark):
     files.write_csv(df.coalesce(1), path)
     assert sorted(map(str, files.read_csv(spark, path, df.schema, multi_line=True).collect())) == sorted(map(str, df.collect()))
     files.external_csv_table(spark, "ext_hosts", path, "hostname string")
+    files.write_csv(spark.createDataFrame([("a", 1), (None, 2)], "h string, n int"), path + "-null")
+    for multi_line in (True, False):
+        strict = files.external_csv_table(spark, "ext_strict", path + "-null", "h string, n int", multi_line=multi_line, required=("h",))
+        with pytest.raises(Exception, match="required column h"):
+            strict.collect()
     out = files.export_hosts(spark, "ext_hosts", scratch_path(spark, "export"), 1)
     assert [r[:] for r in out.collect()] == [("a\nb", "A\nB")]
 
