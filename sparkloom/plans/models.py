@@ -6,12 +6,12 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sparkloom.functions.text import words
 from sparkloom.operators import models as mdl
 from sparkloom.operators.features import assemble_xy, label_encode
-from sparkloom.operators.metrics import classification_metrics, macro_auroc, regression_metrics
+from sparkloom.operators.metrics import macro_auroc, regression_metrics
 from sparkloom.operators.sampling import block_kfold, random_split, user_holdout
 from sparkloom.plans.joins import RATINGS, ratings
 from sparkloom.plans.registry import query, rnd, rnd_sql, table
@@ -31,8 +31,42 @@ def split_lines(spark, sf):
     return both.filter("split = 'train'").drop("split"), both.filter("split = 'test'").drop("split")
 
 
-def scored(model, test, features=X, target=Y):
-    return regression_metrics(model.transform(assemble_xy(test, features, target)), "label", "prediction")
+def against_mean(pred):
+    """Rows scored, the error of always saying their mean, and whether the model's error is below it."""
+    error = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
+    return pred.agg(F.count("*").alias("n"), rnd(F.stddev_pop("label"), 3).alias("mean_error"), (error < F.stddev_pop("label")).alias("better"))
+
+
+def against_majority(pred):
+    """Rows of every class, and whether more rows are told right than are in the largest class."""
+    counts = pred.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("int")).alias("hit"))
+    every = Window.partitionBy(F.lit(0))  # over the classes
+    return counts.select(F.col("label").cast("int").alias("label"), "n", (F.sum("hit").over(every) > F.max("n").over(every)).alias("better"))
+
+
+def mean_sql(y, source):
+    return f"select count(*) as n, {rnd_sql(f'stddev_pop({y})', 3)} as mean_error, stddev_pop({y}) > 0 as better from {source}"
+
+
+def majority_sql(y, source):
+    """A model that learnt something is better wherever there is more than one class."""
+    return f"select label, n, count(*) over () > 1 as better from (select ({y})::int as label, count(*) as n from {source} group by 1)"
+
+
+LINE_TEST = """(select * from lineitem where ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, 7)), 1, 8))::bigint
+  / 4294967296.0::double >= 0.7)"""
+
+
+NET, NET_X = "net_price", ["l_extendedprice", "l_discount", "l_tax"]
+
+
+def net_lines(spark, sf):
+    train, test = split_lines(spark, sf)
+    return [d.withColumn(NET, F.col(Y) * (1 - F.col("l_discount"))) for d in (train, test)]
+
+
+def scored(model, test, features=NET_X, target=NET):
+    return against_mean(model.transform(assemble_xy(test, features, target)))
 
 
 def embeddings_xy(spark, sf):
@@ -43,13 +77,13 @@ def embeddings_xy(spark, sf):
 
 
 def report(model, xy):
-    return classification_metrics(model.transform(xy), "label", "prediction")
+    return against_majority(model.transform(xy))
 
 
-@query("L01_elastic_net")
+@query("L01_elastic_net", mean_sql("l_extendedprice * (1 - l_discount)", LINE_TEST))
 def l01(spark, sf):
-    train, test = split_lines(spark, sf)
-    return scored(mdl.fit_elastic_net(train, X, Y, alpha=0.5, l1_ratio=0.5), test)
+    train, test = net_lines(spark, sf)
+    return scored(mdl.fit_elastic_net(train, NET_X, NET, alpha=0.5, l1_ratio=0.5), test)
 
 
 @query("L02_ols", f"""select {rnd_sql('regr_intercept(l_extendedprice, l_quantity)', 2)} as intercept,
@@ -60,10 +94,10 @@ def l02(spark, sf):
     return one.select(rnd("intercept", 2).alias("intercept"), rnd("slope", 4).alias("slope"), rnd("r2", 5).alias("r2"))
 
 
-@query("L03_rf_regressor")
+@query("L03_rf_regressor", mean_sql("l_extendedprice * (1 - l_discount)", LINE_TEST))
 def l03(spark, sf):
-    train, test = split_lines(spark, sf)
-    return scored(mdl.fit_rf_regressor(train, X, Y, trees=20, depth=6), test)
+    train, test = net_lines(spark, sf)
+    return scored(mdl.fit_rf_regressor(train, NET_X, NET, trees=100, depth=8), test)
 
 
 def _search(spark, sf):
@@ -83,17 +117,17 @@ def l05(spark, sf):
     return mdl.feature_importance(lines(spark, sf), X, Y, top=7, trees=20)
 
 
-@query("L06_rf_classifier")
+@query("L06_rf_classifier", majority_sql("label", "embeddings"))
 def l06(spark, sf):
     xy = embeddings_xy(spark, sf)
     return report(mdl.fit_rf_classifier(xy, trees=60, depth=8), xy)
 
 
-@query("L07_boosted_trees")
+@query("L07_boosted_trees", majority_sql("floor((l_quantity - 1) / 10)", "lineitem"))
 def l07(spark, sf):
-    df = lines(spark, sf).withColumn("late", (F.col("l_returnflag") == "N").cast("double"))
-    xy = assemble_xy(df, X + [Y], "late")
-    return report(mdl.fit_boosted_trees(xy, 2, depth=3, rounds=5), xy)
+    df = lines(spark, sf).withColumn("size_class", F.floor((F.col("l_quantity") - 1) / 10).cast("double"))
+    xy = assemble_xy(df, X + [Y], "size_class")
+    return report(mdl.fit_boosted_trees(xy, 5, depth=2, rounds=10), xy)
 
 
 NB = """
@@ -112,33 +146,38 @@ def l08(spark, sf):
     return df.select("class", *[rnd(c, 5).alias(c) for c in ("log_prior", "quantity", "discount", "tax")])
 
 
-@query("L09_mlp")
+@query("L09_mlp", majority_sql("label", "embeddings"))
 def l09(spark, sf):
     xy = embeddings_xy(spark, sf)
-    return report(mdl.fit_mlp(xy, [64, 10, 10], 60), xy)
+    return report(mdl.fit_mlp(xy, [64, 10, 10], 100), xy)
 
 
-@query("L10_text_classifier")
+@query("L10_text_classifier", majority_sql("quality", "(select quality from documents join labels using (doc_id))"))
 def l10(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", words("text").alias("tokens")).join(
         table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("target")), "doc_id")
     both = random_split(df, {"train": 0.8, "test": 0.2}, "doc_id", 3)
-    model = mdl.fit_text_classifier(both.filter("split = 'train'"), "tokens", "target", 1 << 12)
-    return classification_metrics(model.transform(both.filter("split = 'test'")), "label", "prediction")
+    model = mdl.fit_text_classifier(both.filter("split = 'train'"), "tokens", "target")
+    return against_majority(model.transform(both))
 
 
-@query("L11_mixed_regressor")
+@query("L11_mixed_regressor", mean_sql("p_retailprice", "part"))
 def l11(spark, sf):
-    model, xy = mdl.fit_mixed_regressor(table(spark, sf, "part"), ["p_brand", "p_type"], ["p_size"], "p_retailprice", rounds=5, depth=4)
-    return regression_metrics(model.transform(xy), "label", "prediction")
+    model, xy = mdl.fit_mixed_regressor(table(spark, sf, "part"), ["p_brand", "p_type"], ["p_size"], "p_retailprice", rounds=20, depth=5)
+    return against_mean(model.transform(xy))
 
 
-@query("L12_multilabel")
+@query("L12_multilabel", """
+select flag, count(*) filter (is_on) as rows_on, count(*) as n, count(*) filter (is_on) between 1 and count(*) - 1 as better
+from (select unnest(['label_low', 'label_even', 'label_zero']) as flag, unnest([label < 5, label % 2 = 0, label = 0]) as is_on from embeddings) group by 1""")
 def l12(spark, sf):
     flags = {"label_low": F.col("label") < 5, "label_even": F.col("label") % 2 == 0, "label_zero": F.col("label") == 0}
     df = embeddings_xy(spark, sf).withColumns({k: v.cast("double") for k, v in flags.items()})
     out = mdl.predict_multilabel(df.select("vec_id", "features", *flags), mdl.fit_multilabel(df, "features", list(flags)))
-    return out.agg(*[F.avg((F.col(k) == F.col(f"pred_{k}")).cast("int")).alias(f"accuracy_{k}") for k in flags])
+    seen = F.array(*[F.struct(F.lit(k).alias("flag"), F.col(k).alias("y"), F.col(f"pred_{k}").alias("p")) for k in flags])
+    on = F.sum(F.col("y").cast("int"))
+    hit = F.sum((F.col("y") == F.col("p")).cast("int"))
+    return out.select(F.inline(seen)).groupBy("flag").agg(on.alias("rows_on"), F.count("*").alias("n"), (hit > F.greatest(on, F.count("*") - on)).alias("better"))
 
 
 @query("L13_save_load", "select count(*) as n, count(*)::bigint as equal from embeddings")
@@ -179,16 +218,15 @@ def c01(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "movie_id", "rating_class", "user_text", "item_text")
 
 
-@query("C02_als")
+@query("C02_als", mean_sql("rating", RATINGS))
 def c02(spark, sf):
     r = ratings(spark, sf)
-    model = mdl.fit_als(r, rank=8, iterations=5)
-    return mdl.predict_ratings(model, r).groupBy("rating_class").agg(F.count("*").alias("n"), F.avg("rating").alias("mean_rating"))
+    return against_mean(mdl.predict_ratings(mdl.fit_als(r), r).withColumn("label", F.col("rating").cast("double")))
 
 
 @query("C03_recommend")
 def c03(spark, sf):
-    return mdl.recommend(mdl.fit_als(ratings(spark, sf), rank=8, iterations=5), 10)
+    return mdl.recommend(mdl.fit_als(ratings(spark, sf)), 10)
 
 
 @query("C04_evaluate")
@@ -200,7 +238,7 @@ def c04(spark, sf):
     out = []
     for name, base, test in (("block", blocks.filter("fold != 1"), blocks.filter("fold = 1")),
                              ("holdout", held.filter("split = 'base'"), held.filter("split = 'test'"))):
-        pred = cut_lineage(mdl.predict_ratings(mdl.fit_als(base, rank=8, iterations=5), test))
+        pred = cut_lineage(mdl.predict_ratings(mdl.fit_als(base), test))
         near = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda c: -F.abs(F.col("prediction") - c).cast("double"))
         auc = macro_auroc(pred.select((F.col("rating") - 1).alias("y"), near.alias("s")), "s", "y")
         err = regression_metrics(pred, "rating", "prediction")
