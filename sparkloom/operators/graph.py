@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -105,6 +106,9 @@ def find_cycles(edges: DataFrame) -> DataFrame:
 START = "[START]"
 
 
+MAX_CELLS = 4_000_000  # of a table of states by inputs, and of the maps that a task holds at once
+
+
 def detect_sequence(df: DataFrame, by: list[str], order_by: list[str], col: str, transitions: DataFrame, start: str = START,
                     block_rows: int = 250_000, max_transitions: int = 100_000) -> DataFrame:
     """Run a state machine over every key's ordered inputs, one output row per input row.
@@ -118,19 +122,35 @@ def detect_sequence(df: DataFrame, by: list[str], order_by: list[str], col: str,
     rows = transitions.select("state", "input", "next").distinct().limit(max_transitions + 1).collect()
     if len(rows) > max_transitions:
         raise ValueError("a state machine is a plan-sized table")
-    moves = {(r["state"], r["input"]): r["next"] for r in rows}
     states = sorted({start, *[r["state"] for r in rows], *[r["next"] for r in rows]})
+    inputs = {x: i for i, x in enumerate(dict.fromkeys(r["input"] for r in rows))}
+    place = {s: i for i, s in enumerate(states)}
+    if (len(inputs) + 1) * len(states) > MAX_CELLS:
+        raise ValueError("a state machine is a plan-sized table")
+    at_once = max(1, MAX_CELLS // len(states))
+    # One map of states for each input; an input without a move keeps the state (last row).
+    table = np.tile(np.arange(len(states)), (len(inputs) + 1, 1))
+    known = np.zeros(table.shape, dtype=bool)
+    for r in rows:
+        table[inputs[r["input"]], place[r["state"]]] = place[r["next"]]
+        known[inputs[r["input"]], place[r["state"]]] = True
+
+    def codes(values: pd.Series) -> np.ndarray:
+        return np.fromiter((inputs.get(x, len(inputs)) for x in values), dtype=np.int64, count=len(values))
+
     blocks = with_blocks(df.select(*by, *order_by, col), order_by, by, 0, block_rows)
     fields = {f.name: f.dataType.simpleString() for f in df.select(*by, *order_by, col).schema.fields}
     keys = ", ".join(f"`{k}` {fields[k]}" for k in by)
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = []
-        inputs = pdf.sort_values("__rn")[col].tolist()
-        for s in states:
-            for x in inputs:
-                s = moves.get((s, x), s)
-            ends.append(s)
+        code, done = codes(pdf.sort_values("__rn")[col]), np.arange(len(states))[None, :]
+        for at in range(0, len(code), at_once):
+            maps = np.concatenate([done, table[code[at:at + at_once]]])
+            while len(maps) > 1:  # compose neighbours until one map is left
+                even = len(maps) // 2 * 2
+                maps = np.concatenate([np.take_along_axis(maps[1:even:2], maps[0:even:2], axis=1), maps[even:]])
+            done = maps
+        ends = [states[i] for i in done[0]]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "__block": [pdf["__block"].iloc[0]], "__ends": [ends]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,17 +172,27 @@ def detect_sequence(df: DataFrame, by: list[str], order_by: list[str], col: str,
             .withColumn("__first", F.coalesce("__first", F.lit(start)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by key and block; only the current state is held.
-        now, state = None, None
-        for pdf in batches:
-            out = []
-            for key, first, x in zip(zip(*[pdf[k] for k in [*by, "__block"]]), pdf["__first"], pdf[col].tolist()):
-                if key != now:
-                    now, state = key, first
-                nxt = moves.get((state, x))
-                out.append((state if nxt is None else nxt, nxt is not None, nxt is not None and nxt == state))
-                state = out[-1][0]
-            marks = pd.DataFrame(out, columns=["state", "matched", "overlap"], index=pdf.index)
+        # Rows come sorted by key and block; only the last key and state are held between batches.
+        now, state = None, 0
+        for pdf in (whole.iloc[at:at + at_once] for whole in batches for at in range(0, len(whole), at_once)):
+            keys = pdf[[*by, "__block"]]
+            new = (keys != keys.shift()).any(axis=1).to_numpy()
+            new[0] = tuple(keys.iloc[0]) != now
+            before = np.where(new, np.array([place[x] for x in pdf["__first"]]), state)
+            code = codes(pdf[col])
+            maps = table[code]
+            fixed = new.copy()
+            fixed[0] = True  # what comes before a fixed row does not matter to it
+            maps[fixed] = np.take_along_axis(maps[fixed], before[fixed][:, None], axis=1)
+            step = 1
+            while step < len(maps):  # each row's map becomes that of all rows up to it
+                maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), axis=1)
+                step *= 2
+            after = maps[:, 0]
+            before[~fixed] = np.concatenate([[0], after[:-1]])[~fixed]
+            matched = known[code, before]
+            marks = pd.DataFrame({"state": [states[i] for i in after], "matched": matched, "overlap": matched & (after == before)}, index=pdf.index)
+            now, state = tuple(keys.iloc[-1]), int(after[-1])
             yield pd.concat([pdf[[*by, *order_by, col]], marks], axis=1)
 
     schema = ", ".join(f"`{k}` {t}" for k, t in fields.items())
