@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from sparkloom.llm.common import mix, store
+from sparkloom.llm.common import mix, slices, store
 
 END = b" "  # no word holds a space
-FLUSH_WORDS, FLUSH_KEYS, KEYS_IN_BUCKET = 500_000, 2_000_000, 1_000_000
+FLUSH_WORDS, FLUSH_KEYS, KEYS_IN_BUCKET = 300_000, 2_000_000, 1_000_000
 
 
 def word_hash(word: bytes, seed: int = 0) -> int:
@@ -82,7 +82,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray],
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([p[0] for p in pieces], type=pa.binary()),
                                               pa.array([p[1] for p in pieces], type=pa.binary())], names=["bucket", "keys", "counts"])
 
-        for batch in batches:
+        for batch in slices(batches):
             held.append(keys_of(batch))
             if sum(map(len, held)) > FLUSH_KEYS:
                 yield from flush()
@@ -131,16 +131,14 @@ def extend(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class WordPlaces(dict):
     """Word -> place of its hash in a sorted array, or -1; emptied at ``limit`` entries."""
 
-    def __init__(self, hashes: np.ndarray, seed: int = 0, limit: int = 500_000):
+    def __init__(self, hashes: np.ndarray, seed: int = 0, limit: int = 250_000):
         super().__init__()
         self.hashes, self.seed, self.limit = hashes, seed, limit
 
-    def __missing__(self, word: bytes) -> int:
+    def of(self, tokens: list[bytes]) -> np.ndarray:
         if len(self) >= self.limit:
             self.clear()
-        wanted = np.array([word_hash(word, self.seed)], dtype=np.uint64).view(np.int64)
-        got = self[word] = int(find(self.hashes, wanted)[0])
-        return got
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
+        new = [w for w in set(tokens) if w not in self]
+        hashes = np.fromiter((word_hash(w, self.seed) for w in new), dtype=np.uint64, count=len(new))
+        self.update(zip(new, find(self.hashes, hashes.view(np.int64)).tolist(), strict=True))
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))

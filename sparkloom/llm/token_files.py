@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from sparkloom.llm.common import slices
 from sparkloom.llm.tokens import encoder
 
 FILE_OPTIONS = {
@@ -35,18 +36,16 @@ def encoded_rows(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # so that a batch of ids stays small
-                batch = whole.slice(at, 256)
-                codes = [encode_text(t.as_py() or "") + end for t in batch.column(1)]
-                sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(codes), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(sizes), shard, dtype=np.int32)), pa.array(before + ends - sizes),
-                     pa.array(sizes.astype(np.int32)), ids], names=schema.names)
-                before += int(ends[-1])
+        for batch in slices(batches):
+            codes = [encode_text(t.as_py() or "") + end for t in batch.column(1)]
+            sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                                           pa.array(np.frombuffer(b"".join(codes), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.full(len(sizes), shard, dtype=np.int32)), pa.array(before + ends - sizes),
+                 pa.array(sizes.astype(np.int32)), ids], names=schema.names)
+            before += int(ends[-1])
 
     return documents.select("doc_id", "text").mapInArrow(encode, schema)
 
