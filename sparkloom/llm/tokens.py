@@ -15,6 +15,7 @@ import re
 # of the tokenizer files, here for ASCII and the letters of Latin-1.
 WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 BYTE_PARTS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+SPACE_RUN = re.compile(rb"[ \t-\r]{2}")
 NARROW = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
 WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+", re.ASCII)
@@ -73,15 +74,15 @@ class TextEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merged = Memo(self._merge, memo_words // 4)
         self.memo = Memo(self._part, memo_words)
+        self.spaced = Memo(lambda part: self._part(b" " + part), memo_words)
 
-    def parts(self, text: str) -> list[bytes] | None:
-        """The independent parts of a text, or None where it has to be encoded whole."""
-        data = text.encode()
-        if self.kind == "word":
-            return data.split()
-        if "<|" in text and any(s in text for s in self.special) or not text.isascii() and WIDE_SPACE.search(text):
-            return None
-        return BYTE_PARTS.findall(data)
+    def _lines(self, data: bytes) -> bytes:
+        """Ids of a text of the byte kind in which no two white spaces meet: each word has its space, each line end is a piece."""
+        out, end, memo, spaced = [], self.memo[b"\n"], self.memo, self.spaced.__getitem__
+        for line in data.split(b"\n"):
+            first, *others = line.split(b" ")
+            out += [memo[first], *map(spaced, others), end]
+        return b"".join(out[:-1])
 
     def _merge(self, piece: str) -> bytes:
         """Ids of one piece of the split pattern."""
@@ -97,8 +98,14 @@ class TextEncoder:
         return b"".join([self.merged[p] for p in self.pieces.findall(text)])
 
     def encode(self, text: str) -> bytes:
-        parts = self.parts(text)
-        return self.whole(text) if parts is None else b"".join(map(self.memo.__getitem__, parts))
+        data = text.encode()
+        if self.kind == "word":
+            return b"".join(map(self.memo.__getitem__, data.split()))
+        if "<|" in text and any(s in text for s in self.special) or not text.isascii() and WIDE_SPACE.search(text):
+            return self.whole(text)
+        if SPACE_RUN.search(data):
+            return b"".join(map(self.memo.__getitem__, BYTE_PARTS.findall(data)))
+        return self._lines(data)
 
     def whole(self, text: str) -> bytes:
         """One plain call of the library."""
