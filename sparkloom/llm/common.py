@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,6 +43,40 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(values: DataFrame, bits: int = 26):
+    """Column function: false only for ids that are not in the one-column table ``values``.
+
+    A filter of 2^bits bits, whatever the table's size: it spares a shuffle of rows that a later join would drop, and
+    lets more through the fuller it is. Its parts are made in Spark; what reaches the driver is the filter.
+    """
+    size, part = 1 << bits, 19
+
+    def places(c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(size)) for i in range(3)]
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << part, dtype=bool)
+        held[rows["bit"].to_numpy()] = True
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "held": [np.packbits(held).tobytes()]})
+
+    at = values.select(F.explode(F.array(*places(F.col(values.columns[0])))).alias("at"))
+    parts = at.select(F.shiftright("at", part).alias("part"), F.col("at").bitwiseAND((1 << part) - 1).alias("bit")).distinct()
+    held = np.zeros(size >> 3, dtype=np.uint8)
+    for row in parts.groupBy("part").applyInPandas(fill, "part long, held binary").collect():  # at most 2^bits bits
+        held[row["part"] << part - 3:(row["part"] + 1) << part - 3] = np.frombuffer(row["held"], dtype=np.uint8)
+    shared = values.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def test(first: pd.Series, second: pd.Series, third: pd.Series) -> pd.Series:
+        found = np.ones(len(first), dtype=bool)
+        for at in (first, second, third):
+            at = at.to_numpy(dtype=np.int64)
+            found &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(found)
+
+    return lambda c: test(*places(c))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, by column."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

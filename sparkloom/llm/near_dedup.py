@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from sparkloom.llm.common import WordHashes, store
+from sparkloom.llm.common import WordHashes, maybe_in, slices, store
 from sparkloom.llm.components import components
 from sparkloom.llm.setsketch import Sketcher, text_shingles
 
@@ -54,14 +54,12 @@ def register_matrix(column: pa.Array) -> np.ndarray:
 def band_rows(classes: DataFrame, sketcher: Sketcher) -> DataFrame:
     """(bucket, band, c, n) for each band of each class."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                keys = sketcher.band_keys(register_matrix(batch.column("regs")))
-                times = np.repeat(np.arange(len(keys)), sketcher.bands)
-                bands = np.tile(np.arange(sketcher.bands, dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(bands), *(batch.column(c).take(pa.array(times)) for c in ("c", "n"))],
-                                                 names=["bucket", "band", "c", "n"])
+        for batch in slices(batches, 2000):
+            keys = sketcher.band_keys(register_matrix(batch.column("regs")))
+            times = np.repeat(np.arange(len(keys)), sketcher.bands)
+            bands = np.tile(np.arange(sketcher.bands, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(bands), *(batch.column(c).take(pa.array(times)) for c in ("c", "n"))],
+                                             names=["bucket", "band", "c", "n"])
 
     return classes.select("c", "n", "regs").mapInArrow(rows, "bucket long, band int, c long, n long")
 
@@ -227,21 +225,28 @@ def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Stored (c, elements) for the classes (c, rep_id, digest) that share a band with another: their sets from the whole texts."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                found = [text_shingles(t.as_py(), size, hashes) for t in batch.column("text")]
-                same = [digest_of(x) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("c").filter(pa.array(same)),
-                                                  pa.array([x.tobytes() for x, s in zip(found, same, strict=True) if s], type=pa.binary())],
-                                                 names=["c", "elements"])
-
-    texts = documents.select(F.col("doc_id").alias("rep_id"), "text").join(wanted, "rep_id").select("c", "digest", "text")
+        for batch in slices(batches, 128):
+            found = [text_shingles(t.as_py(), size, hashes) for t in batch.column("text")]
+            same = [digest_of(x) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("c").filter(pa.array(same)),
+                                              pa.array([x.tobytes() for x, s in zip(found, same, strict=True) if s], type=pa.binary())],
+                                             names=["c", "elements"])
+
+    likely = maybe_in(wanted.select("rep_id"))
+    texts = documents.select(F.col("doc_id").alias("rep_id"), "text").where(likely(F.col("rep_id"))).join(wanted, "rep_id").select("c", "digest", "text")
     return store(texts.mapInArrow(rows, "c long, elements binary"), "full-sets")
 
 
-def labels_of(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("c"), F.col("root").alias("label"))
+def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Stored (c, label) of the classes that are not their own label, after more links (a, b): only labels are joined anew."""
+    if labels is None:
+        return store(components(links).select(F.col("node").alias("c"), F.col("root").alias("label")), "labels")
+    for side in ("a", "b"):
+        links = links.join(labels.withColumnsRenamed({"c": side, "label": "__label"}), side, "left").withColumn(
+            side, F.coalesce("__label", side)).drop("__label")
+    moved = store(components(links), "moved")
+    old = labels.join(moved.select(F.col("node").alias("label"), "root"), "label", "left").select("c", F.coalesce("root", "label").alias("label"))
+    return store(old.unionAll(moved.select(F.col("node").alias("c"), F.col("root").alias("label"))), "labels")
 
 
 def link_documents(documents: DataFrame, size: int = 5, percent: int = 80, sketcher: Sketcher = Sketcher(), slack: float = 0.16) -> DataFrame:
@@ -260,7 +265,7 @@ def link_documents(documents: DataFrame, size: int = 5, percent: int = 80, sketc
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where(F.col("size") > 1)
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("weight") / BLOCK_SHINGLES))
     members = store(bands.join(shared.select("bucket", blocks.alias("blocks")), "bucket"), "members")
-    wanted = members.select("c").distinct().join(classes.select("c", "rep_id", "digest"), "c")
+    wanted = store(members.select("c").distinct().join(classes.select("c", "rep_id", "digest"), "c"), "wanted")
     sets = full_sets(documents, wanted, size)
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("doc_id")
     again = usable.join(repeated, "doc_id").join(classes.select("digest", "c"), "digest").select("doc_id", "c").distinct()
@@ -269,8 +274,8 @@ def link_documents(documents: DataFrame, size: int = 5, percent: int = 80, sketc
     least, labels = percent / 100 - slack, None
     most = members.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
     for seed, all_pairs in [(1, False), *([(2, False)] if most > 1 else []), (3, True)]:
-        links = links.unionAll(one_round(members, classes, sets, labels, sketcher, least, percent, seed, all_pairs))
-        labels = store(labels_of(links), "labels")
+        found = one_round(members, classes, sets, labels, sketcher, least, percent, seed, all_pairs)
+        labels = relabel(labels, links.unionAll(found) if labels is None else found)
     return summary(sketches, classes, labels)
 
 

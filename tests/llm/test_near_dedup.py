@@ -96,3 +96,25 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 7 for i in range(300, 400)}, 2: 1, 3: 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_prefilter_lets_every_wanted_id_through(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.common import maybe_in
+
+    wanted = spark.range(0, 3000, 3).selectExpr("id as v")
+    likely = maybe_in(wanted)
+    passed = {r["id"] for r in spark.range(30_000).where(likely(F.col("id"))).collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < 1100
+    assert spark.range(100).where(maybe_in(wanted.limit(0))(F.col("id"))).count() == 0
+
+
+def test_labels_are_joined_over_rounds(spark):
+    from sparkloom.llm.near_dedup import relabel
+
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = relabel(None, links([(5, 6), (6, 7), (20, 21)]))
+    second = relabel(first, links([(7, 21), (1, 20), (30, 31)]))
+    third = relabel(second, links([]))
+    assert {r["c"]: r["label"] for r in third.collect()} == {5: 1, 6: 1, 7: 1, 20: 1, 21: 1, 31: 30}
