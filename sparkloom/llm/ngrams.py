@@ -20,6 +20,7 @@ from xxhash import xxh3_64_intdigest
 from sparkloom.llm.common import mix, slices, store
 
 END = b" "  # no word holds a space
+NOT_YET = -2
 FLUSH_WORDS, FLUSH_KEYS, KEYS_IN_BUCKET = 300_000, 2_000_000, 1_000_000
 
 
@@ -129,16 +130,27 @@ def extend(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class WordPlaces(dict):
-    """Word -> place of its hash in a sorted array, or -1; emptied at ``limit`` entries."""
+    """Word -> place of its hash in a sorted array, or -1; emptied at ``limit`` entries.
+
+    Words that are not known yet are noted on the way, and looked up together.
+    """
 
     def __init__(self, hashes: np.ndarray, seed: int = 0, limit: int = 250_000):
         super().__init__()
-        self.hashes, self.seed, self.limit = hashes, seed, limit
+        self.hashes, self.seed, self.limit, self.new = hashes, seed, limit, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        return NOT_YET
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
         if len(self) >= self.limit:
             self.clear()
-        new = [w for w in set(tokens) if w not in self]
-        hashes = np.fromiter((word_hash(w, self.seed) for w in new), dtype=np.uint64, count=len(new))
-        self.update(zip(new, find(self.hashes, hashes.view(np.int64)).tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        out = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.new:
+            new = list(dict.fromkeys(self.new))
+            hashes = np.fromiter((word_hash(w, self.seed) for w in new), dtype=np.uint64, count=len(new))
+            self.update(zip(new, find(self.hashes, hashes.view(np.int64)).tolist(), strict=True))
+            out[out == NOT_YET] = [self[w] for w in self.new]
+            self.new.clear()
+        return out
