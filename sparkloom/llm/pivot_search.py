@@ -39,6 +39,11 @@ def lift(v: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([v.astype(np.float64), np.sqrt(np.maximum(rest, 0))])
 
 
+def query_distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """From queries, whose additional component is zero, to the pivots: not those of the index, where the same rows are candidates."""
+    return distances(np.column_stack([q.astype(np.float64), np.zeros(len(q))]), pivots)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(squares, 0))
@@ -112,11 +117,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     queries = index.where(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        rows = queries.where(F.col("block") == block).dropDuplicates(["id"]).orderBy("id").select("id", "v", "p").toArrow()  # about query_block rows
+        rows = queries.where(F.col("block") == block).dropDuplicates(["id"]).orderBy("id").select("id", "v").toArrow()  # about query_block rows
         if not rows.num_rows:
             continue
         rows = rows.combine_chunks().to_batches()[0]
-        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), matrix(rows.column(1)), matrix(rows.column(2))))
+        asked = matrix(rows.column(1))
+        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), asked, query_distances(asked, pivots)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -38,6 +38,17 @@ def test_search_equals_brute_force(spark, query_block):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == plain_top(exact, 7, 10) and len(got) == len(plain_top(exact, 7, 10))
 
 
+def test_search_stops_only_past_the_best_scores_of_unequal_lengths(spark):
+    rng = np.random.default_rng(5)
+    directions = rng.normal(size=(4000, 8))
+    directions /= np.linalg.norm(directions, axis=1)[:, None]
+    lengths = np.where(np.arange(4000) % 2, 0.95 + 0.05 * rng.uniform(size=4000), 0.001 + 0.1 * rng.uniform(size=4000))  # queries are short, many others long
+    rows = list(enumerate((100 * directions * lengths[:, None]).tolist()))  # more than CHUNK rows in one batch
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = pivot_search.top_k(df, F.col("id") % 100 == 0, k=7, n_pivots=6, sample=500).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == plain_top(rows, 7, 100)
+
+
 def test_search_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert pivot_search.top_k(spark.createDataFrame([], schema), F.col("id") % 2 == 0).count() == 0
