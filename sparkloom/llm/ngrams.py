@@ -121,11 +121,37 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def extend(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Place of the n-gram made of the n-gram ``left`` and the word ``right``, or -1 if either is missing or it is not kept."""
-    out = np.full(len(left), -1, dtype=np.int64)
-    both = np.flatnonzero((left >= 0) & (right >= 0))
-    out[both] = find(keys, left[both] << 32 | right[both])
+def bit_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(keys.view(np.uint64))
+    return (x >> np.uint64(64 - bits)).astype(np.int64), (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, bits: int = 27) -> np.ndarray:
+    """Filter of 2^bits bits, whatever the size of the column ``key``: all its keys pass, and of others more, the fuller it is."""
+    part = 19
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(bit_places(batch.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> part), pa.array(at & ((1 << part) - 1))], names=["part", "bit"])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << part, dtype=bool)
+        held[rows["bit"].to_numpy()] = True
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "held": [np.packbits(held).tobytes()]})
+
+    held = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    parts = keys.select("key").mapInArrow(places, "part long, bit long").distinct()
+    for row in parts.groupBy("part").applyInPandas(fill, "part long, held binary").collect():  # at most 2^bits bits
+        held[row["part"] << part - 3:(row["part"] + 1) << part - 3] = np.frombuffer(row["held"], dtype=np.uint8)
+    return held
+
+
+def maybe(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    out = np.ones(len(keys), dtype=bool)
+    for at in bit_places(keys, len(held).bit_length() + 2):
+        out &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 

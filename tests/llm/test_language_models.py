@@ -81,6 +81,19 @@ def test_scores_equal_a_plain_tree(spark):
         assert sum(prob(s, g[0]) for g in unigrams) + prob(s, b"never seen") == pytest.approx(1)
 
 
+def test_what_workers_hold_does_not_change_the_tree(spark):
+    rows = [(i, CORPUS[i % len(CORPUS)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    contexts, prob = plain_tree(train, 3, 3, 2.0, 0.7)[3:]
+    assert contexts
+    for share in (0.1, 1.0):  # some words are held, or none
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, share=share, min_count=3, strength=2.0, price=0.7).collect()}
+        for i, t in rows:
+            tk = tokens(t)
+            assert got[i] == pytest.approx(sum(math.log10(prob(tuple(tk[max(0, j - 3):j]), w)) for j, w in enumerate(tk))), (share, i, t)
+
+
 def test_suffix_tree_edges(spark, odd_rows, no_rows):
     assert len(suffix_tree.score_documents(odd_rows).collect()) == odd_rows.count()
     assert suffix_tree.score_documents(no_rows).count() == 0
