@@ -1,3 +1,4 @@
+import inspect
 import math
 import re
 import zlib
@@ -178,6 +179,13 @@ def test_perplexity_bands_reject_odd_text_of_a_language(spark):
     assert sum(got[i]["kept"] for i in range(300)) >= 299
 
 
+def test_a_language_keeps_its_model_in_a_larger_corpus(spark):
+    settings = {k: v.default for k, v in inspect.signature(kneser_ney.judge).parameters.items() if k in ("min_documents", "language_share")}
+    for n in (1_000, 700_000):
+        docs = spark.range(n).selectExpr("if(id < 55, 'xx', 'en') as lang")
+        assert set(kneser_ney.known_languages(docs, settings["min_documents"], settings["language_share"])) == {"en", "xx"}
+
+
 def test_count_keys_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "FLUSH_KEYS", 10)
     rows = spark.range(0, 5000, 1, 3).selectExpr("id % 97 * 4294967296 + id % 3 as k")
