@@ -179,6 +179,16 @@ def test_perplexity_bands_reject_odd_text_of_a_language(spark):
     assert sum(got[i]["kept"] for i in range(300)) >= 299
 
 
+def test_text_of_unknown_words_is_no_common_text(spark):
+    rng = np.random.default_rng(3)
+    weights = 1 / np.arange(1, 201)
+    rows = [(i, " ".join([*rng.choice([f"w{j}" for j in range(200)], 80, p=weights / weights.sum()), f"rare{i}"]), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"zz{i}x{j}" for j in range(80)), "en") for i in range(5)]
+    got = {r["doc_id"]: r for r in kneser_ney.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert min(got[1000 + i]["log_perplexity"] for i in range(5)) > max(got[i]["log_perplexity"] for i in range(300))
+    assert not any(got[1000 + i]["kept"] for i in range(5)) and sum(got[i]["kept"] for i in range(300)) >= 299
+
+
 def test_a_language_keeps_its_model_in_a_larger_corpus(spark):
     settings = {k: v.default for k, v in inspect.signature(kneser_ney.judge).parameters.items() if k in ("min_documents", "language_share")}
     for n in (1_000, 700_000):
