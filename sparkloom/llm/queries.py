@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import gam, kneser_ney, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter
+from sparkloom.llm import gam, kneser_ney, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter, warc
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -86,3 +86,12 @@ def op9_mixing(spark, sf_dir):
 @query("op3_setsketch_dedup")
 def op3_setsketch_dedup(spark, sf_dir):
     return near_dedup.link_documents(table(spark, sf_dir, "documents"), size=4).drop("class_id", "row")
+
+
+@query("op11_warc_zstd", warc.archive_sql())
+def op11_warc_zstd(spark, sf_dir):
+    path = f"{folder(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, strict=True, with_payload=False)
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.page_of(F.col("refers_to")).alias("refers_to"))
