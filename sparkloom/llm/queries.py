@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import gam, kneser_ney, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter, warc
+from sparkloom.llm import gam, kneser_ney, lexical_search, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter, warc
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -95,3 +95,8 @@ def op11_warc_zstd(spark, sf_dir):
     records = warc.read_archives(spark, path, strict=True, with_payload=False)
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op12_lexical_search", lexical_search.search_sql())
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
