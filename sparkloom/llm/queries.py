@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import gam, kneser_ney, lexical_search, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter, warc
+from sparkloom.llm import gam, kneser_ney, lexical_search, mixing, near_dedup, packing, pivot_search, suffix_tree, token_counts, token_files, url_filter, warc, whitening
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import tokenizer_path
 
@@ -100,3 +100,8 @@ def op11_warc_zstd(spark, sf_dir):
 @query("op12_lexical_search", lexical_search.search_sql())
 def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_feast_whitening")
+def op13_feast_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
