@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
-from math import sqrt
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkloom.functions import text as tx
 from sparkloom.functions.stem import porter
@@ -34,15 +36,74 @@ def per_document(fn: Callable, returns: str):
     return run
 
 
-def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = 500_000) -> Callable[[], dict] | None:
-    """A dictionary that every worker can hold, if the table has at most ``max_rows`` rows; else None."""
-    rows = table.select(key, value).limit(max_rows + 1).collect() if fits_broadcast(table.select(key, value), max_rows) else None
-    if rows is None or len(rows) > max_rows:
+def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = 500_000, max_bytes: int = 256) -> Callable[[], dict] | None:
+    """A dictionary that every worker can hold, or None: the table has more rows, or a longer text. The table is evaluated once.
+
+    Null keys and values are no entries. Of several values of a key the smallest counts, as in ``joined_lookup``.
+    """
+    fields = table.select(key, value).schema.fields
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in fields if isinstance(f.dataType, T.StringType)), F.lit(0))
+    rows = table.select(*(F.when(size <= max_bytes, F.col(f.name)).alias(f.name) for f in fields), (size > max_bytes).alias("__long")) \
+        .limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows or pc.any(rows["__long"]).as_py():
         return None
-    shared = table.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows if r[0] is not None})
+    held: dict = {}
+    for k, v in zip(rows[0].to_pylist(), (_plain(v) for v in rows[1].to_pylist()), strict=True):
+        if k is not None and v is not None and (k not in held or v < held[k]):
+            held[k] = v
+    shared = table.sparkSession.sparkContext.broadcast(held)
     return lambda: shared.value
 
 
+def _plain(value):
+    """A struct as a tuple of its fields, which compares like one."""
+    return tuple(value.values()) if isinstance(value, dict) else value
+
+
+def coded(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row ends, place of each element among the distinct ones, distinct elements) of an Arrow list column; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    codes = column.flatten().dictionary_encode("encode")
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
+
+
+def element_wise(df: DataFrame, key: list[str], array: str | Column, change: Callable[[list], pa.Array], name: str, element: T.DataType,
+                 keep_nulls: bool = False) -> DataFrame:
+    """(*key, name): every array element replaced by what ``change`` gives for the distinct ones of a batch; nulls it gives are left out or kept.
+
+    A row stays one row, and a word that occurs often costs one lookup for each batch.
+    """
+    schema = T.StructType([*df.select(*key).schema.fields, T.StructField(name, T.ArrayType(element))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, codes, distinct = coded(batch.column(batch.num_columns - 1))
+            new = change(distinct.to_pylist())
+            kept = new.is_valid().to_numpy(zero_copy_only=False)[codes] | keep_nulls if len(codes) else np.empty(0, dtype=bool)
+            ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)[ends]
+            lists = pa.ListArray.from_arrays(pa.array(ends), new.take(pa.array(codes[kept], type=pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
+
+    return df.select(*key, F.col(array) if isinstance(array, str) else array).mapInArrow(run, schema)
+
+
+def joined_lookup(df: DataFrame, key: list[str], array: str, table: DataFrame, on: str, value: str, item: Callable[[Column, Column], Column],
+                  name: str, keep_nulls: bool = False) -> DataFrame:
+    """(*key, name): array elements looked up in a table that is too large to hold, by a join.
+
+    ``item(element, value)`` is the new element, null to leave it out (or to keep a null); ``value`` is null without an entry, and of several entries the
+    smallest. Rows are numbered first, so equal keys stay apart, and no name of ``df`` or the table meets another.
+    """
+    numbered = df.select(F.struct(*key).alias("__key"), F.col(array).alias("__a"), F.monotonically_increasing_id().alias("__row"))
+    flat = numbered.select("__key", "__row", F.posexplode_outer("__a").alias("__pos", "__w"))
+    entries = table.groupBy(F.col(on).alias("__w")).agg(F.min(value).alias("__v"))
+    known = dimension_join(flat, entries, "__w", "left")
+    new = item(F.col("__w"), F.col("__v"))
+    place = F.when(F.col("__pos").isNotNull() & (F.lit(keep_nulls) | new.isNotNull()), F.struct("__pos", new.alias("new")))
+    packed = known.groupBy("__row").agg(F.first("__key").alias("__key"), F.array_sort(F.collect_list(place)).alias("__s"))
+    return packed.select("__key.*", F.transform("__s", lambda x: x["new"]).alias(name))
+
+
 def norm_freq(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Word counts of every document divided by its largest count, counted where the document is."""
     def counted(words):
@@ -120,22 +181,13 @@ def encode_tokens(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
                   name: str = "ids") -> DataFrame:
     """Token arrays to id arrays; a word without an id gets ``unk`` (or is left out when unk is None); null gives an empty array.
 
-    With a vocabulary that workers can hold, a document stays one row. With a larger one its words are joined,
-    and ``key`` must tell the rows apart.
+    With a vocabulary that workers can hold, a document stays one row. With a larger one its words are joined; the answer is the same.
     """
     ids = small_lookup(vocab, "word", "id")
     if ids is not None:
-        def encode(words):
-            found = (ids().get(w, unk) for w in words)
-            return [i for i in found if i is not None]
-
-        return df.select(*key, per_document(encode, "array<bigint>")(tokens).alias(name))
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
-    known = dimension_join(flat, vocab.select("word", "id"), "word", "left")
-    value = F.coalesce("id", F.lit(unk).cast("bigint")) if unk is not None else F.col("id")
-    item = F.when(F.col("pos").isNotNull() & value.isNotNull(), F.struct("pos", value.alias("id")))
-    packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return packed.select(*key, F.transform("__s", lambda s: s["id"]).alias(name))
+        return element_wise(df, key, tokens, lambda words: pa.array([ids().get(w, unk) for w in words], type=pa.int64()), name, T.LongType())
+    none = F.lit(unk).cast("bigint")
+    return joined_lookup(df, key, tokens, vocab, "word", "id", lambda word, i: F.coalesce(i.cast("bigint"), none), name)
 
 
 def decode_tokens(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, pad: int = 0, unknown: str = "<CLS>",
@@ -143,16 +195,11 @@ def decode_tokens(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, pad
     """Id arrays to words: padding and nulls are dropped, an id without a word gives ``unknown``."""
     words = small_lookup(vocab, "id", "word")
     if words is not None:
-        def decode(found):
-            return [words().get(int(i), unknown) for i in found if i is not None and i != pad]
+        def decode(found: list) -> pa.Array:
+            return pa.array([None if i is None or i == pad else words().get(i, unknown) for i in found], type=pa.string())
 
-        return df.select(*key, per_document(decode, "array<string>")(ids).alias(name))
-    flat = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
-    known = dimension_join(flat, vocab.select("id", "word"), "id", "left")
-    kept = F.col("pos").isNotNull() & (F.col("id") != pad)
-    item = F.when(kept, F.struct("pos", F.coalesce("word", F.lit(unknown)).alias("word")))
-    packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return packed.select(*key, F.transform("__s", lambda s: s["word"]).alias(name))
+        return element_wise(df, key, ids, decode, name, T.StringType())
+    return joined_lookup(df, key, ids, vocab, "id", "word", lambda i, word: F.when(i != pad, F.coalesce(word, F.lit(unknown))), name)
 
 
 def roundtrip(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame) -> DataFrame:
@@ -194,22 +241,16 @@ def encode_plus(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame, ma
 # ---- words to base forms ----------------------------------------------------
 
 def replace_words(df: DataFrame, key: list[str], tokens: str, mapping: DataFrame, name: str = "tokens") -> DataFrame:
-    """Replace words by a (word, base) lookup; words without an entry stay, null gives an empty array.
+    """Replace words by a (word, base) lookup; words without an entry stay, and so do nulls; a null array gives an empty one.
 
-    A lookup that workers can hold is applied in place. A larger one is joined with the words; ``key`` must then tell the rows apart.
+    A lookup that workers can hold is applied in place. A larger one is joined with the words, with the same answer.
     """
     mapping = cut_lineage(mapping.select("word", "base"))
     bases = small_lookup(mapping, "word", "base")
     if bases is not None:
-        def replace(words):
-            return [w if (base := bases().get(w)) is None else base for w in words]
-
-        return df.select(*key, per_document(replace, "array<string>")(tokens).alias(name))
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
-    known = dimension_join(flat, mapping, "word", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("base", "word").alias("word")))
-    packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return packed.select(*key, F.transform("__s", lambda s: s["word"]).alias(name))
+        return element_wise(df, key, tokens, lambda words: pa.array([bases().get(w, w) for w in words], type=pa.string()), name,
+                            T.StringType(), keep_nulls=True)
+    return joined_lookup(df, key, tokens, mapping, "word", "base", lambda word, base: F.coalesce(base, word), name, keep_nulls=True)
 
 
 def stem_vocab(df: DataFrame, tokens: str) -> DataFrame:
@@ -280,13 +321,21 @@ def tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_df: float =
     vocab = vocab if vocab is not None else cut_lineage(tfidf_vocab(df, key, tokens, min_df, max_df, max_features))
     idf = small_lookup(vocab, "term", "idf")
     if idf is not None:
-        def weigh(words):
-            known = idf()
-            raw = {w: c * known[w] for w, c in Counter(words).items() if w in known}
-            length = sqrt(sum(x * x for x in raw.values()))
-            return [(w, x / length) for w, x in raw.items()]
-
-        return df.select(key, F.inline(per_document(weigh, "array<struct<term string, weight double>>")(tokens)))
+        schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ends, codes, terms = coded(batch.column(1))
+                known = np.array([idf().get(w, np.nan) for w in terms.to_pylist()], dtype=np.float64)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                held = ~np.isnan(known[codes]) if len(codes) else np.empty(0, dtype=bool)
+                cell, count = np.unique(row[held] * max(len(known), 1) + codes[held], return_counts=True)
+                row, term = np.divmod(cell, max(len(known), 1))
+                weight = count * known[term] if len(term) else np.empty(0)
+                weight = weight / np.sqrt(np.bincount(row, weight * weight, batch.num_rows))[row]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms.take(pa.array(term)), pa.array(weight)], names=schema.names)
+
+        return df.select(key, tokens).mapInArrow(weigh, schema)
     # A vocabulary too large to hold: its words are joined, those outside it are dropped before anything is counted.
     known = dimension_join(df.select(key, F.explode(tokens).alias("term")), vocab, "term")
     raw = known.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")) \

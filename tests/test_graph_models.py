@@ -107,10 +107,13 @@ def test_importance_and_search(linear):
     top = mdl.feature_importance(df, ["a", "b", "c"], "y", top=2, trees=10).collect()
     assert [r.feature for r in top] == ["a", "b"]
     tree = DecisionTreeRegressor(seed=1)
-    best, draws = mdl.random_search(tree, {tree.maxDepth: [1, 6]}, RegressionEvaluator(metricName="mse"),
-                                    assemble_xy(df, ["a", "b", "c"], "y", ["id"]), "id", n_iter=4, folds=3)
-    assert draws.count() == 4 and best.getMaxDepth() == 6
+    xy = assemble_xy(df, ["a", "b", "c"], "y", ["id"])
+    best, draws = mdl.random_search(tree, {tree.maxDepth: [1, 6], tree.minInstancesPerNode: [1, 2, 3]}, RegressionEvaluator(metricName="mse"),
+                                    xy, "id", n_iter=4, folds=3)
+    assert draws.count() == 4 == draws.select("params").distinct().count() and best.getMaxDepth() == 6
     assert "6" in mdl.best_of(draws, "metric").first().params
+    _, draws = mdl.random_search(tree, {tree.maxDepth: [1, 6]}, RegressionEvaluator(metricName="mse"), xy, "id", n_iter=4, folds=2)
+    assert draws.count() == 2  # each setting is drawn once
 
 
 @pytest.fixture(scope="module")

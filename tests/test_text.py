@@ -175,3 +175,44 @@ def test_lemma_lookup_and_cleaning(spark):
     assert out[1] == "cat ran" and not out[2]
     stemmed = {r.id: r.t for r in ops.clean_text(df, ["id"], "t", ["the"], "stem").collect()}
     assert stemmed[1] == "cat ran"
+
+
+def both_paths(monkeypatch, make):
+    """The rows of a query with a held lookup and with a joined one."""
+    held = sorted(map(repr, make().collect()))
+    monkeypatch.setattr(ops, "small_lookup", lambda *a, **k: None)
+    return held, sorted(map(repr, make().collect()))
+
+
+ODD = [(1, "x", ["b", "a", None, "zz", "a"]), (1, "x", ["a"]), (2, "y", []), (2, None, None), (None, "z", [None, "b"])]
+
+
+@pytest.mark.parametrize("case", ["encode", "drop", "decode", "replace", "roundtrip", "plus"])
+def test_large_lookups_answer_like_held_ones(spark, monkeypatch, case):
+    """Keys named like the vocabulary's columns, repeated keys and rows, nulls, repeated entries."""
+    df = spark.createDataFrame(ODD, "id bigint, word string, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 4), ("b", 9), ("b", 5), (None, 6), ("c", None), ("<UNK>", 8)], "word string, id bigint")
+    keys = ["id", "word"]
+    make = {
+        "encode": lambda: ops.encode_tokens(df, keys, "tokens", vocab, 8),
+        "drop": lambda: ops.encode_tokens(df, keys, "tokens", vocab),
+        "decode": lambda: ops.decode_tokens(df.select(*keys, F.expr("transform(tokens, t -> case t when 'a' then 4L when 'b' then 5L when 'zz' then 0L end)")
+                                                      .alias("ids")), keys, "ids", vocab),
+        "replace": lambda: ops.replace_words(df, keys, "tokens", spark.createDataFrame([("a", "A2"), ("a", "A1"), ("b", None)], "word string, base string")),
+        "roundtrip": lambda: ops.roundtrip(df, keys, "tokens", vocab),
+        "plus": lambda: ops.encode_plus(df, keys, "tokens", vocab, 6, 101, 102, 8),
+    }[case]
+    held, joined = both_paths(monkeypatch, make)
+    assert held == joined and len(held) == len(ODD)
+    expected = {"encode": "[5, 4, 8, 8, 4]", "drop": "[5, 4, 4]", "decode": "['b', 'a', 'a']", "replace": "['b', 'A1', None, 'zz', 'A1']",
+                "roundtrip": "['b', 'a', '<UNK>', '<UNK>', 'a']", "plus": "[101, 5, 4, 8, 8, 102]"}[case]
+    assert sum(expected in row for row in held) == 1
+
+
+def test_lookup_sizes(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "word string, id bigint")
+    assert ops.small_lookup(table, "word", "id")() == {"a": 1, "b": 2}
+    assert ops.small_lookup(table, "word", "id", max_rows=1) is None
+    assert ops.small_lookup(spark.createDataFrame([("a" * 300, 1)], "word string, id bigint"), "word", "id") is None
+    pairs = table.select("word", F.struct("id", F.lit(0.5).alias("w")).alias("cell"))
+    assert ops.small_lookup(pairs, "word", "cell")()["b"] == (2, 0.5)
