@@ -6,9 +6,8 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkloom.operators.ordered import running_sums
+from sparkloom.operators.quantile import quantile_values
 from sparkloom.operators.skew import dimension_join
-from sparkloom.runtime import cut_lineage
 
 
 def melt(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -19,53 +18,38 @@ def melt(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles in long form (column_name, p, value).
+    """Exact, linearly interpolated quantiles in long form (column_name, p, value); columns without values are left out.
 
-    Equal values are counted first, so a value holding a third of all rows is
-    one row from then on; the cumulative count is taken over range buckets.
+    Found by bracketing (``operators/quantile.py``): scans and counts, no sort and no exchange of the values.
     """
-    counts = cut_lineage(melt(df, cols).filter("value is not null").groupBy("column_name", "value")
-                         .agg(F.count(F.lit(1)).alias("cnt")))
-    cum = running_sums(counts, {"cum": F.col("cnt")}, ["value"], ["column_name"], totals={"cum": "n"})
-
-    def inside(rank: Column) -> Column:
-        return (rank + 1 <= F.col("cum")) & (rank + 1 > F.col("cum") - F.col("cnt"))
-
-    def ends(p: Column) -> tuple[Column, Column]:
-        return F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p)
-
-    asked = F.array(*[F.lit(float(p)) for p in probs])
-    near = F.filter(asked, lambda p: inside(ends(p)[0]) | inside(ends(p)[1]))
-    hits = cum.filter(F.size(near) > 0).select("*", F.explode(near).alias("p"))
-    lo, hi = ends(F.col("p"))
-    return hits.groupBy("column_name", "p").agg(
-        F.max(F.when(inside(lo), F.col("value"))).alias("a"), F.max(F.when(inside(hi), F.col("value"))).alias("b"),
-        F.max((F.col("n") - 1) * F.col("p") - lo).alias("w")).select(
-        "column_name", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+    found = quantile_values(df, cols, probs)
+    rows = [(c, float(p), v) for (c, p), v in found.items() if v is not None]  # columns times probabilities
+    return df.sparkSession.createDataFrame(rows, "column_name string, p double, value double")
 
 
 def describe_table(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max: one row per column."""
     probs = [0.25, 0.5, 0.75]
-    longf = melt(df, cols).groupBy("column_name")
-    basic = [F.count("value").alias("count"), F.mean("value").alias("mean"), F.stddev_samp("value").alias("std"),
-             F.min("value").alias("min"), F.max("value").alias("max")]
-    if not exact:
-        return longf.agg(*basic, F.percentile_approx("value", probs).alias("q")).select(
-            "column_name", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in
-                                                           enumerate(["q25", "q50", "q75"])], "max")
-    q = quantiles(df, cols, probs).groupBy("column_name").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{int(p * 100)}") for p in probs])
-    return longf.agg(*basic).join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    names = [F.col(f"`{c}`").cast("double") for c in cols]
+    parts = {"count": F.count, "mean": F.mean, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[fn(x).alias(f"{n}{i}") for i, x in enumerate(names) for n, fn in parts.items()],
+                  *([] if exact else [F.percentile_approx(x, probs).alias(f"q{i}") for i, x in enumerate(names)]))
+    known = quantile_values(df, cols, probs) if exact else {}
+
+    def quartile(i: int, at: int) -> Column:
+        return F.lit(known[cols[i], probs[at]]).cast("double") if exact else F.col(f"q{i}")[at]
+
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}{i}").alias(n) for n in ("count", "mean", "std", "min")],
+                     *[quartile(i, at).alias(f"q{int(p * 100)}") for at, p in enumerate(probs)], F.col(f"max{i}").alias("max")) for i, c in enumerate(cols)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def trim_quantiles(df: DataFrame, col: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Rows strictly between two quantiles of the whole column."""
-    bounds = {r["p"]: r["value"] for r in quantiles(df, [col], [lo, hi]).collect()}  # two rows
-    if not bounds:
+    bounds = quantile_values(df, [col], [lo, hi])
+    if bounds[col, lo] is None:
         return df.limit(0)
-    return df.filter((F.col(col) < bounds[hi]) & (F.col(col) > bounds[lo]))
+    return df.filter((F.col(col) < bounds[col, hi]) & (F.col(col) > bounds[col, lo]))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

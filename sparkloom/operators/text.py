@@ -36,30 +36,31 @@ def per_document(fn: Callable, returns: str):
     return run
 
 
+def held_rows(table: DataFrame, cols: list[str], max_rows: int = 500_000, max_bytes: int = 256) -> pa.Table | None:
+    """The table's rows, if every worker can hold them; None if it has more rows, or one with longer texts. The table is evaluated once."""
+    fields = table.select(*cols).schema.fields
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in fields if isinstance(f.dataType, T.StringType)), F.lit(0))
+    rows = table.select(*(F.when(size <= max_bytes, F.col(f.name)).alias(f.name) for f in fields), (size > max_bytes).alias("__long")) \
+        .limit(max_rows + 1).toArrow()
+    return None if rows.num_rows > max_rows or pc.any(rows["__long"]).as_py() else rows.drop_columns(["__long"])
+
+
 def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = 500_000, max_bytes: int = 256) -> Callable[[], dict] | None:
-    """A dictionary that every worker can hold, or None: the table has more rows, or a longer text. The table is evaluated once.
+    """A dictionary that every worker can hold, or None if the table is larger.
 
     Null keys and values are no entries. Of several values of a key the smallest counts, as in ``joined_lookup``.
     """
-    fields = table.select(key, value).schema.fields
-    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in fields if isinstance(f.dataType, T.StringType)), F.lit(0))
-    rows = table.select(*(F.when(size <= max_bytes, F.col(f.name)).alias(f.name) for f in fields), (size > max_bytes).alias("__long")) \
-        .limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or pc.any(rows["__long"]).as_py():
+    rows = held_rows(table, [key, value], max_rows, max_bytes)
+    if rows is None:
         return None
     held: dict = {}
-    for k, v in zip(rows[0].to_pylist(), (_plain(v) for v in rows[1].to_pylist()), strict=True):
+    for k, v in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True):
         if k is not None and v is not None and (k not in held or v < held[k]):
             held[k] = v
     shared = table.sparkSession.sparkContext.broadcast(held)
     return lambda: shared.value
 
 
-def _plain(value):
-    """A struct as a tuple of its fields, which compares like one."""
-    return tuple(value.values()) if isinstance(value, dict) else value
-
-
 def coded(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row ends, place of each element among the distinct ones, distinct elements) of an Arrow list column; null lists are empty."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)

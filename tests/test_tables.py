@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import aggregates as agg, features as feat, metrics as met, relational as rel, sampling as smp
+from sparkloom.operators import quantile, aggregates as agg, features as feat, metrics as met, relational as rel, sampling as smp
 from sparkloom.runtime import scratch_path
 from sparkloom.sources import files
 
@@ -67,6 +67,38 @@ def test_quantiles_match_numpy(spark):
     assert one["q25"] == one["q75"] == one["min"]
 
 
+@pytest.mark.parametrize("limit,margin,k", [(1_000_000, 0.005, 2000), (40, 0.02, 200), (5, 0.0, 8)])
+def test_quantiles_whatever_the_sketch_says(spark, monkeypatch, limit, margin, k):
+    """Narrowed brackets, missed ranks, heavy and equal values, both infinities, NaN after all numbers."""
+    monkeypatch.setattr(quantile, "LIMIT", limit)
+    monkeypatch.setattr(quantile, "MARGIN", margin)
+    monkeypatch.setattr(quantile, "SKETCH_K", k)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.full(900, 1.5), np.full(600, 1.6), rng.normal(size=1500), [-np.inf, np.inf, -0.0, 0.0]])
+    y = np.concatenate([rng.integers(0, 4, len(x) - 400).astype(float), np.full(400, np.nan)])
+    rng.shuffle(x)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)] + [(None, None, None)], "x double, y double, `z.z` double").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.3, 0.5, 0.77, 0.86, 0.999, 1.0]
+    got = quantile.quantile_values(df, ["x", "y", "z.z"], probs)
+    for name, values in (("x", np.sort(x)), ("y", np.sort(y))):
+        for p in probs:
+            at = (len(values) - 1) * p
+            a, b = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want = a if np.floor(at) == np.ceil(at) else a + (b - a) * (at - np.floor(at))
+            assert got[name, p] == pytest.approx(want, nan_ok=True, abs=1e-12), (name, p)
+    assert {got["z.z", p] for p in probs} == {None}
+    assert agg.describe_table(df, ["z.z"]).first()["q50"] is None
+
+
+def test_quantiles_send_no_values(spark):
+    """What the passes shuffle is counts and values inside the brackets, not the column."""
+    df = spark.range(200_000).select(F.rand(3).alias("x"), F.rand(4).alias("y"))
+    span = quantile.Span("x", None, None, 0, 200_000)
+    brackets = quantile._brackets(quantile._sketched(df, [span])[0], {span: {100_000}})
+    rows = quantile._zones(df, brackets, keep=True)[0]
+    assert len(rows) < 200_000 * 4 * quantile.MARGIN and sum(n for *_, n in rows) == 200_000
+
+
 def test_histogram_matches_numpy(spark):
     x = [0.0, 0.1, 0.5, 1.0, 2.0, 2.0, 3.999, 4.0]
     df = spark.createDataFrame([(v,) for v in x], "x double")

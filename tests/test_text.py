@@ -214,5 +214,3 @@ def test_lookup_sizes(spark):
     assert ops.small_lookup(table, "word", "id")() == {"a": 1, "b": 2}
     assert ops.small_lookup(table, "word", "id", max_rows=1) is None
     assert ops.small_lookup(spark.createDataFrame([("a" * 300, 1)], "word string, id bigint"), "word", "id") is None
-    pairs = table.select("word", F.struct("id", F.lit(0.5).alias("w")).alias("cell"))
-    assert ops.small_lookup(pairs, "word", "cell")()["b"] == (2, 0.5)
