@@ -21,6 +21,7 @@ from sparkloom.llm.common import doc_crc, words
 FEATURES = ("log_words", "word_length", "short_words", "long_words", "symbols", "bars", "exclamations", "digits", "capitals",
             "capitalised", "distinct_words", "top_word", "same_neighbours", "repeated_triples", "duplicate_lines",
             "line_words", "line_ends", "word_ends")
+SLICE = 256  # texts whose figures are made at once
 SYMBOL = re.compile(rb"[#*$%&<>@^~\\{}\[\]=+_]")
 ENDS = (b".", b"!", b"?", b",", b";", b":")
 
@@ -179,7 +180,8 @@ def score_column(model: Gam):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.score(feature_matrix(texts)))
+            x = np.concatenate([feature_matrix(texts.iloc[at:at + SLICE]) for at in range(0, len(texts), SLICE)] or [feature_matrix([])])
+            yield pd.Series(model.score(x))
 
     return score
 

@@ -21,7 +21,7 @@ from sparkloom.llm.common import mix, slices, store
 
 END = b" "  # no word holds a space
 NOT_YET = -2
-FLUSH_WORDS, FLUSH_KEYS, KEYS_IN_BUCKET = 300_000, 2_000_000, 1_000_000
+FLUSH_WORDS, FLUSH_KEYS, KEYS_IN_BUCKET = 100_000, 1_000_000, 1_000_000
 
 
 def word_hash(word: bytes, seed: int = 0) -> int:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 # White space beyond ASCII, which the byte pattern treats like a space, and the two split patterns
 # of the tokenizer files, here for ASCII and the letters of Latin-1.
@@ -86,16 +87,23 @@ class TextEncoder:
 
     def _merge(self, piece: str) -> bytes:
         """Ids of one piece of the split pattern."""
-        coded = piece.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(coded)])
+        if piece.isascii() and piece[1:].isalnum():  # the alphabet changes nothing but a leading space
+            coded = "\u0120" + piece[1:] if piece[0] == " " else piece if "!" <= piece[0] <= "~" else piece.translate(self.alphabet)
+        else:
+            coded = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
 
     def _part(self, part: bytes) -> bytes:
+        if part.isalpha() or part[:1] == b" " and part[1:].isalpha():  # one piece of ASCII letters
+            text = part.decode()
+            return self._merge(text.lower() if self.kind == "word" else text)
         text = part.decode()
         if "<|" in text or not NARROW.fullmatch(text):
             return self.whole(text)
         if self.kind == "word":
             text = text.lower()
-        return b"".join([self.merged[p] for p in self.pieces.findall(text)])
+        found = self.pieces.findall(text)
+        return b"".join([self.merged[p] for p in found]) if len(found) > 1 else self._merge(found[0]) if found else b""
 
     def encode(self, text: str) -> bytes:
         data = text.encode()
