@@ -14,14 +14,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.common import doc_crc, words
+from sparkloom.llm.common import doc_crc, slices, words
 
 FEATURES = ("log_words", "word_length", "short_words", "long_words", "symbols", "bars", "exclamations", "digits", "capitals",
             "capitalised", "distinct_words", "top_word", "same_neighbours", "repeated_triples", "duplicate_lines",
             "line_words", "line_ends", "word_ends")
-SLICE = 256  # texts whose figures are made at once
 SYMBOL = re.compile(rb"[#*$%&<>@^~\\{}\[\]=+_]")
 ENDS = (b".", b"!", b"?", b",", b";", b":")
 
@@ -176,14 +176,8 @@ def matrix_column():
     return features
 
 
-def score_column(model: Gam):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            x = np.concatenate([feature_matrix(texts.iloc[at:at + SLICE]) for at in range(0, len(texts), SLICE)] or [feature_matrix([])])
-            yield pd.Series(model.score(x))
-
-    return score
+def scores(model: Gam, batch: pa.RecordBatch, column: str = "text") -> np.ndarray:
+    return model.score(feature_matrix(t.as_py() for t in batch.column(column)))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 40_000, label_col: str = "quality",
@@ -209,11 +203,23 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     columns other than doc_id and text are not read.
     """
     model = fit_quality(documents, labels, held_out_of=held_out_of, **settings)
-    scored = documents.select("doc_id", (doc_crc(F.col("doc_id")) % held_out_of == 0).alias("held_out"), score_column(model)("text").alias("score"))
+    held = (doc_crc(F.col("doc_id")) % held_out_of == 0).alias("held_out")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(model, batch))], names=["doc_id", "held_out", "score"])
+
+    scored = documents.select("doc_id", held, "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **settings) -> DataFrame:
     """Documents that score at least ``threshold``, with all their columns."""
     model = fit_quality(documents, labels, **settings)
-    return documents.where(score_column(model)("text") >= threshold)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(scores(model, batch) >= threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
