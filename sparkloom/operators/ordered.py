@@ -33,19 +33,27 @@ def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[str]:
     return [r[0] for r in rows[step::step]][: buckets - 1]
 
 
-def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in ``keys``, by binary search over split points.
+def split_points(df: DataFrame, keys: list[str], buckets: int | None = None) -> list[str]:
+    """Split points of the order in ``keys``, as JSON; one fewer than there are buckets.
 
-    By default there are as many buckets as shuffle partitions, which a session
-    sets to fit its data.
+    By default there are as many buckets as shuffle partitions, which a session sets to fit its data.
     """
     if buckets is None:
         buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(df, keys, buckets) if buckets > 1 else []
+    return _bounds(df, keys, buckets) if buckets > 1 else []
+
+
+def _point_array(df: DataFrame, keys: list[str], bounds: list[str]) -> Column:
+    kind = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
+    return F.from_json(F.lit(f"[{','.join(bounds)}]"), kind)
+
+
+def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None, bounds: list[str] | None = None) -> DataFrame:
+    """Add ``__bucket``, non-decreasing in ``keys``, by binary search over split points."""
+    bounds = split_points(df, keys, buckets) if bounds is None else bounds
     if not bounds:
         return df.withColumn(BUCKET, F.lit(0))
-    kind = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
-    points = F.from_json(F.lit(f"[{','.join(bounds)}]"), kind)
+    points = _point_array(df, keys, bounds)
     n, steps = len(bounds), []
     while not steps or steps[0] * 2 <= n:
         steps.insert(0, steps[0] * 2 if steps else 1)
@@ -204,20 +212,56 @@ def with_blocks(df: DataFrame, order_by: list[str], partition_by: list[str], rea
             .withColumn("__block", F.explode(F.when(spill, F.array(home, home + 1)).otherwise(F.array(home)))))
 
 
+def _lent_rows(base: DataFrame, order_by: list[str], partition_by: list[str], reach: int, bounds: list[str]) -> DataFrame | None:
+    """Rows that buckets borrow from the ones before: for each bucket the ``reach`` rows of its first group that come right before it.
+
+    A group lies in several buckets only if a split point lies inside it. So a bucket can lend from one group alone, that of the split
+    point at its end: at most ``reach`` rows a bucket, stored. Where a bucket has fewer, rows of the one before are lent on.
+    """
+    points = _point_array(base, partition_by + order_by, bounds)
+    goes_on = F.col(BUCKET) < len(bounds)
+    for c in partition_by:
+        goes_on = goes_on & F.col(c).eqNullSafe(F.get(points, F.col(BUCKET))[c])
+    back = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*[F.col(c).desc() for c in order_by]))
+    lent = cut_lineage(base.filter(goes_on).withColumn("__back", back).filter(F.col("__back") <= reach))
+    held = {r[BUCKET]: r["count"] for r in lent.groupBy(BUCKET).count().collect()}  # one row per bucket
+    groups = [{c: point.get(c) for c in partition_by} for point in map(json.loads, bounds)]
+    moves = []
+    for b in held:
+        left, to = reach, b + 1
+        while left > 0 and to <= len(bounds):
+            moves.append((b, to, left))
+            if to == len(bounds) or groups[to] != groups[b]:
+                break  # the group ends in this bucket
+            left -= held.get(to, 0)
+            to += 1
+    if not moves:
+        return None
+    targets = base.sparkSession.createDataFrame(moves, f"{BUCKET} int, __to int, __upto int")  # mostly one for each bucket
+    return (lent.join(F.broadcast(targets), BUCKET).filter(F.col("__back") <= F.col("__upto"))
+            .withColumn(BUCKET, F.col("__to")).drop("__back", "__to", "__upto"))
+
+
 def frame_windows(df: DataFrame, build, order_by: list[str], partition_by: list[str] = (),
-                  reach: int = 1, calendar: bool = False, block_rows: int = 250_000) -> DataFrame:
+                  reach: int = 1, calendar: bool = False, buckets: int | None = None) -> DataFrame:
     """Apply window columns that look back at most ``reach`` rows.
 
     ``build(window)`` returns ``{name: Column}``. With ``calendar`` the caller
     states that the order column is a calendar period, unique per group, so the
-    calendar bounds every group and a plain window is right. Otherwise each
-    window runs inside a block and the rows lent from the block before.
+    calendar bounds every group and a plain window is right. Otherwise each window
+    runs inside a range bucket, to which the few rows before it are lent: rows are shuffled once.
     """
     order_by, partition_by = list(order_by), list(partition_by)
     if calendar:
         w = Window.partitionBy(*partition_by).orderBy(*order_by)
         return df.select("*", *[c.alias(n) for n, c in build(w).items()])
-    blocks = with_blocks(df, order_by, partition_by, reach, block_rows)
-    w = Window.partitionBy(*partition_by, "__block").orderBy("__rn")
-    out = blocks.select("*", *[c.alias(n) for n, c in build(w).items()])
-    return out.filter(F.col("__block") == F.col("__home")).drop("__rn", "__home", "__block")
+    keys = partition_by + order_by
+    bounds = split_points(df, keys, buckets)
+    base = with_bucket(df, keys, bounds=bounds)
+    rows = base.withColumn("__own", F.lit(True))
+    lent = _lent_rows(base, order_by, partition_by, reach, bounds) if bounds and reach > 0 else None
+    if lent is not None:
+        rows = rows.unionByName(lent.withColumn("__own", F.lit(False)))
+    w = Window.partitionBy(*partition_by, BUCKET).orderBy(*order_by)
+    out = rows.select("*", *[c.alias(n) for n, c in build(w).items()])
+    return out.filter("__own").drop("__own", BUCKET)

@@ -65,15 +65,35 @@ def test_backfill_leaves_trailing_nulls(spark):
     assert [r.v for r in rel.backfill(df, ["v"], ["t"]).orderBy("t").collect()] == [5.0, 5.0, None]
 
 
-@pytest.mark.parametrize("block", [3, 10, 10_000])
-def test_blocked_windows_equal_plain_ones(rows, block):
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("buckets", [1, 5, 400])
+def test_windows_over_borrowed_rows_equal_plain_ones(rows, by, buckets):
+    """With 400 buckets most are shorter than the look-back, so rows are lent on over several buckets."""
     def build(w):
         return {"l": F.lag("id", 3).over(w), "m": F.avg("v").over(w.rowsBetween(-3, 0))}
-    got = ordered.frame_windows(rows, build, ["t", "id"], ["g"], 3, block_rows=block)
-    exp = rows.select("*", *[c.alias(n) for n, c in build(Window.partitionBy("g").orderBy("t", "id")).items()])
+    got = ordered.frame_windows(rows, build, ["t", "id"], by, 3, buckets=buckets)
+    exp = rows.select("*", *[c.alias(n) for n, c in build(Window.partitionBy(*by).orderBy("t", "id")).items()])
     assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
 
 
+def test_a_look_back_shuffles_rows_once(spark, rows):
+    out = win.rolling(rows, "v", 10, ["g"], ["t", "id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in plan
+    lent = ordered._lent_rows(ordered.with_bucket(rows, ["g", "t", "id"], bounds=(b := ordered.split_points(rows, ["g", "t", "id"], 9))), ["t", "id"], ["g"], 4, b)
+    assert 0 < lent.count() <= 9 * 4
+
+
+def test_windows_with_null_groups_and_no_rows(spark):
+    df = spark.createDataFrame([(None if i % 2 else "a", i, float(i)) for i in range(200)], "g string, t int, v double")
+    def build(w):
+        return {"l": F.lag("v", 2).over(w)}
+    got = ordered.frame_windows(df, build, ["t"], ["g"], 2, buckets=7)
+    exp = df.select("*", F.lag("v", 2).over(Window.partitionBy("g").orderBy("t")).alias("l"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
+    assert ordered.frame_windows(df.limit(0), build, ["t"], ["g"], 2).count() == 0
+
+
 def test_rolling_is_null_until_full(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0), (5, 6.0)], "t int, v double").withColumn("g", F.lit(1))
     out = win.rolling(df, "v", 2, ["g"], ["t"]).orderBy("t").collect()
