@@ -10,15 +10,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.llm.common import ascii_lower
 
-STRICT = ("adult", "casino", "escort", "gambling", "hentai", "nude", "poker", "porn", "sex", "viagra", "warez", "xxx")
-SOFT = {"ads": 0.5, "bet": 0.6, "bets": 0.6, "betting": 0.6, "cheap": 0.5, "clickbait": 0.6, "crack": 0.6, "dating": 0.6,
-        "farm": 0.5, "free": 0.5, "hack": 0.6, "jackpot": 0.6, "loan": 0.5, "pharma": 0.5, "pills": 0.6, "spam": 0.6,
-        "torrent": 0.6, "track": 0.5, "tracker": 0.5, "win": 0.5}
+# One strict term is enough: words that hardly stand in the url of anything else. English, German, French, Spanish, Italian and Portuguese.
+ADULT = ("adult sex porn porno pornos pornography pornstar xxx xvideo hentai milf blowjob bukkake camgirl camgirls creampie cumshot deepthroat dildo dildos "
+         "erotica escort escorts fetish gangbang hardcore hardsex hookup hookups lolita nude nudes nudist orgy porntube sexcam sexcams sexshop sexchat "
+         "sextape sexting sexvideos sexy striptease stripper strippers swinger swingers upskirt voyeur whore whores pornofilme sexkontakte hure nutte "
+         "erotik nackt salope partouze porrista pornografia prostituta prostitutas puta putas desnuda desnudas sesso troia scopare buceta putaria").split()
+GAMBLING = ("casino casinos blackjack baccarat roulette slots slotmachine slotmachines sportsbook sportsbooks bookmaker bookmakers gambling gamble "
+            "poker pokerstars jackpots sportwetten spielautomat spielautomaten gluecksspiel wettanbieter tragamonedas apuestas apuesta ruleta "
+            "pronostici scommesse cassino apostas").split()
+PIRACY = ("warez keygen keygens crackz serialz torrentz nulled cracked camrip dvdrip raubkopie").split()
+DRUGS = ("viagra cialis levitra kamagra tramadol xanax phentermine oxycodone hydrocodone ambien modafinil steroids").split()
+STRICT = tuple(dict.fromkeys(ADULT + GAMBLING + PIRACY + DRUGS))
+
+# Soft terms count together. Words of a trade that is rarely wanted weigh 0.6, words that sell anything 0.3: two of a trade reach 1.0,
+# general words do so only beside a word of a trade, and only several of them.
+TRADES = ("amateur anal babe babes bdsm boobs busty cam cams dating erotic fuck gay girls hot hottest kinky lesbian lingerie naked pussy "
+          "sexe sexo sexual teens tits bet bets betting bingo bonus bookie freespins jackpot lottery lotto odds slot spins stake "
+          "stakes wager wagers wetten loto paris tipster crack cracks hack hacks hacked leak leaked serial torrent torrents unlocker "
+          "pharma pharmacy pills pill painkillers prescription rx steroid apotheke pharmacie farmacia pillen malware phishing ransomware spam spammer "
+          "spyware trojan clickbait payday forex binary crypto airdrop ponzi replica replicas counterfeit weightloss slimming").split()
+SELLING = ("buy cheap cheapest click coupon deal deals discount download earn easy fast free freebie gratis guaranteed hurry instant kaufen kostenlos "
+           "limited lose money offer offers online order profit promo quick rich sale unlimited win winner winners now gratuit gratuito "
+           "barato billig acheter comprar ganar").split()
+SOFT = {t: 0.6 for t in TRADES} | {t: 0.3 for t in SELLING}
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Lower-case ASCII terms. One strict term rejects; so do ``min_soft`` distinct soft terms that weigh ``min_weight``."""
+    """Lower-case terms. One strict term rejects; so do ``min_soft`` distinct soft terms that weigh ``min_weight``."""
 
     strict: tuple[str, ...] = STRICT
     soft: tuple[tuple[str, float], ...] = tuple(SOFT.items())
@@ -81,12 +100,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], vocabulary:
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict (allow or block) for every url; one output row for each input row, other columns are not read.
 
-    A url that is null, empty or without ``://`` has an empty host and path, fits no rule and is allowed.
-    Repeated rows and ids are judged one by one. Of rules of the same length, the later in the alphabet wins.
+    The vocabulary sees the whole url, with its query and fragment. A url that is null or empty is allowed; one without
+    ``://`` has an empty host and path and fits no rule, but its words count. Repeated rows and ids are judged one by one. Of rules of the same length, the later in the alphabet wins.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    split = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    text = ascii_lower(F.concat("host", "path"))
+    split = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("__url"))
+    text = ascii_lower(F.col("__url"))
     found = split.select(
         id_col, "host", "path",
         rule_column(rules, F.col("host"), F.col("path"), lambda verdict, rule: rule).alias("rule"),
@@ -116,8 +135,8 @@ def verdict_sql(rules: list[tuple[str, str, str]], vocabulary: Vocabulary = Voca
     lower = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
     return f"""
         with split as (select page_id, {lower} as host,
-                              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
-             lowered as (select *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from split),
+                              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, coalesce(url, '') as url from pages),
+             lowered as (select *, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from split),
              hits as (select *, cast({strict} as int) as strict_hits, cast({soft} as int) as soft_hits,
                              round({weight}, 6) as soft_weight from lowered)
         select page_id, host, path, {case(lambda v, r: r)} as rule,

@@ -17,19 +17,31 @@ def test_hosts_paths_and_rules(spark):
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == [
         ("a.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("org", "/", "org/", "allow"),
         ("xorg", "/a", None, "allow"), ("b.com", "/fr/1", "com/fr/", "allow"), ("b.com", "/de/", "com/de/", "block"), ("example.org", "", None, "allow"),
-        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "", None, "allow"), ("b.com", "/FR/1", None, "allow"),
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "block"), ("h", "", None, "allow"), ("b.com", "/FR/1", None, "allow"),
         ("example.org", "/en/2", "org/", "allow"), ("b:", "//c/d", None, "allow")]
 
 
 @pytest.mark.parametrize(("url", "verdict", "strict", "soft"), [
     ("http://adult-x.net/a", "block", 1, 0), ("http://adulthood.net/a", "allow", 0, 0), ("http://essex.net/Sex", "block", 1, 0),
     ("http://free.net/free/free", "allow", 0, 1), ("http://free-bets.net/", "block", 0, 2), ("http://freebets.net/", "allow", 0, 0),
-    ("http://a.net/free?bets", "allow", 0, 1), ("http://a.net/free_bets", "block", 0, 2), ("http://a.net/ä-xxxé", "block", 1, 0)])
+    ("http://a.net/free?bets", "block", 0, 2), ("http://a.net/watch?cat=Adult", "block", 1, 0), ("http://a.net/x#xxx", "block", 1, 0),
+    ("sex.com/a", "block", 1, 0), ("sex", "block", 1, 0), ("free.net", "allow", 0, 1), ("http://a.net/free_bets", "block", 0, 2), ("http://a.net/ä-xxxé", "block", 1, 0)])
 def test_vocabulary(spark, url, verdict, strict, soft):
-    row = judged(spark, [url])[0]
+    few = url_filter.Vocabulary(("adult", "sex", "xxx"), (("bets", 0.6), ("free", 0.5)))
+    row = judged(spark, [url], vocabulary=few)[0]
     assert (row["verdict"], row["strict_hits"], row["soft_hits"]) == (verdict, strict, soft)
 
 
+def test_default_vocabulary(spark):
+    bad = ["porn.com/videos", "https://a.net/watch?cat=porno", "http://a.net/#casino", "http://sportwetten-a.de/", "https://apuestas.es/", "http://x.ru/buy?pills=cheap&rx=1",
+           "http://a.com/torrents/cracked/app", "http://bet.io/freespins"]
+    good = ["http://news.net/free-farm-loan-advice", "https://a.org/offers/sale/2024", "http://shop.com/buy-online/shoes", "https://a.edu/essex/sussex/middlesex",
+            "http://lib.net/therapist/analysis", "https://a.net/pharmacology/pharmacy", "http://a.net/spam-folder-help", "http://a.net/winners/track/field", None, "", "://"]
+    got = judged(spark, bad + good, rules=[])
+    assert [got[i]["verdict"] for i in range(len(bad + good))] == ["block"] * len(bad) + ["allow"] * len(good)
+    assert len(url_filter.STRICT) > 100 and len(url_filter.SOFT) > 130 and not set(url_filter.STRICT) & set(url_filter.SOFT)
+
+
 def test_url_edges(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
     assert judged(spark, ["http://porn.net"], rules=[], vocabulary=url_filter.Vocabulary((), ()))[0]["verdict"] == "allow"
