@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.operators.ordered import with_blocks
 from sparkloom.operators.skew import dimension_join
-from sparkloom.runtime import cut_lineage
+from sparkloom.runtime import cut_lineage, scratch_path
 
 
 def all_paths(edges: DataFrame, src: str, dst: str, max_hops: int) -> DataFrame:
@@ -45,62 +45,137 @@ def all_paths(edges: DataFrame, src: str, dst: str, max_hops: int) -> DataFrame:
     return found
 
 
-def _peel(e: DataFrame) -> DataFrame:
-    """Drop edges from vertices nobody enters and into vertices nobody leaves, until none is left to drop."""
-    n = e.count()
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again. Unlike a checkpoint the table brings no known equalities of columns along, of which
+    chains of self-joins collect more than the optimizer can go through."""
+    path = scratch_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _degrees(e: DataFrame) -> DataFrame:
+    """(v, outs, ins) of every vertex."""
+    ends = F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return e.select(F.inline(ends)).groupBy("v").agg(F.sum("o").alias("outs"), F.sum("i").alias("ins"))
+
+
+def _rake(e: DataFrame) -> DataFrame:
+    """Edges without those at vertices that nobody enters or nobody leaves: they close no cycle."""
+    inner = _degrees(e).filter("outs > 0 and ins > 0").select("v")
+    return _stored(e.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi")
+                       .select("src", "dst"))
+
+
+def _doubled(chain: DataFrame) -> DataFrame:
+    """Every open pointer twice as far: (v, p, s, m). ``p`` lies as many steps before ``v`` as the smallest vertex ``m`` has seen; once it has left
+    the chain, ``s`` names the chain's first vertex."""
+    far = chain.select(F.col("v").alias("p"), F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("m").alias("m2"))
+    moved = chain.filter("s is null").join(far, "p").select("v", F.col("p2").alias("p"), F.col("s2").alias("s"), F.least("m", "m2").alias("m"))
+    return moved.unionByName(chain.filter("s is not null"))
+
+
+def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Paths through vertices with one way in and one way out become one edge each.
+
+    Returns the shorter edge list, the chains (v, s, src, dst: their vertices, first vertex, and the edge they became), and the cycles that are
+    nothing but such vertices (vertex, component). Pointers double, so a path of n vertices takes log n steps.
+    """
+    single = _degrees(e).filter("outs = 1 and ins = 1").select("v")
+    inside = _stored(e.join(single.withColumnRenamed("v", "dst"), "dst").select(F.col("dst").alias("v"), F.col("src").alias("p")))
+    n = inside.count()
+    if not n:
+        return None
+    names = inside.select(F.col("v").alias("p"), F.lit(True).alias("in_chain"))
+    chain = inside.join(names, "p", "left").select("v", "p", F.when(F.col("in_chain").isNull(), F.col("v")).alias("s"), F.col("v").alias("m"))
+    chain = _stored(chain)
+    for _ in range(n.bit_length()):  # 2^steps > n: what is open then runs in a circle
+        chain = _stored(_doubled(chain))
+        if chain.filter("s is null").isEmpty():
+            break
+    rings = _stored(chain.filter("s is null").select(F.col("v").alias("vertex"), F.col("m").alias("component")))
+    chain = chain.filter("s is not null")
+    member = inside.select(F.col("v").alias("x"))
+    leaving = e.join(member, F.col("dst") == F.col("x"), "left_anti").join(chain.select(F.col("v").alias("src"), "s"), "src").select("s", "dst")
+    made = _stored(chain.select("v", "s", F.col("p").alias("src")).join(leaving, "s").select("v", "s", "src", "dst"))
+    kept = e.join(member, F.col("dst") == F.col("x"), "left_anti").join(member, F.col("src") == F.col("x"), "left_anti")
+    return _stored(kept.unionByName(made.select("src", "dst")).distinct()), made, rings
+
+
+def _smallest_before(e: DataFrame) -> DataFrame:
+    """(v, c): the smallest vertex from which ``v`` can be reached, itself included.
+
+    A name that reaches a vertex brings the name that reaches it along, so names travel ever longer ways.
+    """
+    color = _stored(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().withColumn("c", F.col("v")))
+    while True:
+        sent = e.join(color.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
+        near = color.join(sent, "v", "left").select("v", "c", F.least("c", F.coalesce("m", "c")).alias("m"))
+        before = color.select(F.col("v").alias("m"), F.col("c").alias("far"))
+        new = _stored(near.join(before, "m").select("v", F.least("m", "far").alias("c"), (F.least("m", "far") < F.col("c")).alias("moved")))
+        color = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return color
+
+
+def _cycles(edges: DataFrame, any_one: bool = False) -> DataFrame:
+    """(vertex, component) of the vertices on a cycle, with a member of their component as its name; with ``any_one`` some cycle is enough.
+
+    Tips are raked off and paths compressed while that shortens the list. Then each vertex learns the smallest vertex that reaches it,
+    and among those with one name, who reaches its owner: all vertices are pivots at once. The components found are taken out.
+    """
+    e = _stored(edges.select("src", "dst").distinct())
+    found, levels, n = [], [], e.count()
+    none = e.select(F.col("src").alias("vertex"), F.col("dst").alias("component")).limit(0)
     while n:
-        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = kept.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = cut_lineage(kept)
-        m = kept.count()
-        if m == n:
-            return kept
-        e, n = kept, m
-    return e
+        start = n
+        e = _rake(e)
+        shorter = _compress(e)
+        if shorter is not None:
+            e, chains, rings = shorter
+            levels.append(chains)
+            found.append(rings)
+            if any_one and not rings.isEmpty():
+                return rings
+        n = e.count()
+        if not n or n < 0.7 * start:
+            continue
+        color = _smallest_before(e)
+        same = _stored(e.join(color.withColumnsRenamed({"v": "src", "c": "c1"}), "src").join(color.withColumnsRenamed({"v": "dst", "c": "c2"}), "dst")
+                           .filter("c1 = c2").select("src", "dst", F.col("c1").alias("c")))
+        back = _smallest_before(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # Who reaches the name's owner is in its component; the owner itself may be alone there, and has no edge inside then.
+        owned = _stored(color.join(back.withColumnRenamed("c", "b"), "v", "left").filter("b = c or v = c").select("v", "c"))
+        inner = same.join(owned.withColumnRenamed("v", "src"), ["src", "c"], "left_semi").join(owned.withColumnRenamed("v", "dst"), ["dst", "c"], "left_semi")
+        members = _stored(inner.select(F.col("src").alias("vertex"), F.col("c").alias("component")).distinct())
+        found.append(members)
+        if any_one and not members.isEmpty():
+            return members
+        # Edges between names close no cycle, and every name loses its owner.
+        done = owned.select(F.col("v").alias("src"))
+        e = _stored(same.join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = e.count()
+    out = none
+    for part in found:
+        out = out.unionByName(part)
+    for chains in reversed(levels):
+        out = _stored(out)
+        at_src = out.withColumnsRenamed({"vertex": "src", "component": "c1"})
+        at_dst = out.withColumnsRenamed({"vertex": "dst", "component": "c2"})
+        closed = chains.join(at_src, "src").join(at_dst, "dst").filter("c1 = c2").select(F.col("v").alias("vertex"), F.col("c1").alias("component"))
+        out = out.unionByName(closed)
+    return out
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
     """One row: does the directed graph hold a cycle?"""
-    core = _peel(cut_lineage(edges.select("src", "dst").distinct()))
-    return core.agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
+    return _cycles(edges, any_one=True).agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:
-    """Vertices on a directed cycle, with the smallest vertex of their strongly connected component.
-
-    Each round spreads the smallest vertex name forwards, then collects
-    backwards the vertices that reach the name's owner: these are components.
-    They are taken out and the rest is peeled again.
-    """
-    e = _peel(cut_lineage(edges.select("src", "dst").distinct()))
-    result = e.select(F.col("src").alias("vertex"), F.col("dst").alias("component")).limit(0)
-    while not e.isEmpty():
-        color = cut_lineage(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().withColumn("c", F.col("v")))
-        while True:
-            sent = dimension_join(e, color.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
-            new = cut_lineage(color.join(sent, "v", "left").select(
-                "v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            color = new.drop("moved")
-            if new.filter("moved").isEmpty():
-                break
-        # Only edges within one colour can close a cycle.
-        same = dimension_join(dimension_join(e, color.withColumnsRenamed({"v": "src", "c": "c1"}), "src"),
-                              color.withColumnsRenamed({"v": "dst", "c": "c2"}), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
-        same = cut_lineage(same)
-        members = front = cut_lineage(color.filter("v = c"))
-        while not front.isEmpty():
-            front = dimension_join(same, front.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct() \
-                .join(members, ["v", "c"], "left_anti")
-            front = cut_lineage(front)
-            members = cut_lineage(members.unionByName(front))
-        inside = same.join(members.withColumnRenamed("v", "src"), ["src", "c"], "left_semi") \
-            .join(members.withColumnRenamed("v", "dst"), ["dst", "c"], "left_semi")
-        on_cycle = inside.select(F.col("src").alias("vertex"), F.col("c").alias("component")).distinct()
-        result = result.unionByName(on_cycle)
-        rest = e.join(members.select(F.col("v").alias("src")), "src", "left_anti").join(
-            members.select(F.col("v").alias("dst")), "dst", "left_anti")
-        e = _peel(cut_lineage(rest))
-    return result
+    """Vertices on a directed cycle, with the smallest vertex of their strongly connected component."""
+    found = _stored(_cycles(edges))
+    smallest = found.groupBy("component").agg(F.min("vertex").alias("first"))
+    return dimension_join(found, smallest, "component").select("vertex", F.col("first").alias("component"))
 
 
 START = "[START]"

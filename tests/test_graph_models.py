@@ -20,6 +20,9 @@ GRAPHS = {
     "two": [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")],
     "bridge": [("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "end")],
     "empty": [],
+    "rings": [*[(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)], ("r3", "t1"), ("t1", "t2"), ("t2", "u0"), *[(f"u{i}", f"u{(i + 1) % 5}") for i in range(5)],
+              ("u2", "u0"), ("s", "s"), ("p", "q"), ("q", "p")],
+    "random": [(f"v{a:02}", f"v{b:02}") for a, b in np.random.default_rng(4).integers(0, 40, (60, 2)).tolist()],
 }
 
 
@@ -43,6 +46,21 @@ def test_cycles(spark, name):
     assert gr.has_cycle(df).first()[0] == bool(on)
 
 
+def test_a_long_chain_and_a_long_ring_take_few_rounds(spark):
+    n = 5000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    ring = spark.range(n).select((F.col("id") + 2 * n).alias("src"), ((F.col("id") + 1) % n + 2 * n).alias("dst"))
+    chord = spark.createDataFrame([(n // 2, 2 * n + 7), (2 * n + 9, 2 * n + 4)], "src bigint, dst bigint")
+    cut = []
+    plain, gr._stored = gr._stored, lambda df: cut.append(1) or plain(df)
+    try:
+        found = gr.find_cycles(chain.union(ring).union(chord)).agg(F.count("*"), F.countDistinct("component"), F.min("component")).first()
+    finally:
+        gr._stored = plain
+    assert tuple(found) == (n, 1, 2 * n)
+    assert len(cut) <= 40  # stored steps
+
+
 @pytest.mark.parametrize("name,src,dst", [("diamond", "a", "d"), ("two", "a", "d"), ("bridge", "a", "end"), ("two", "d", "a"), ("loop", "a", "b")])
 def test_all_paths(spark, name, src, dst):
     edges = GRAPHS[name]
