@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.operators.ordered import with_ordinal
@@ -72,24 +77,84 @@ def minmax_apply(df: DataFrame, params: dict[str, tuple[float, float]], clip: bo
     return df.withColumns({c: scaled(c, lo, hi) for c, (lo, hi) in params.items()})
 
 
-def pca_fit(df: DataFrame, col: str, k: int):
-    """PCA of an array column on centred data: (means, fitted model)."""
-    from pyspark.ml.stat import Summarizer
-    vec = df.select(array_to_vector(F.col(col).cast("array<double>")).alias("x"))
-    mean = vec.select(Summarizer.mean(F.col("x")).alias("m")).first()["m"].toArray().tolist()
-    model = PCA(k=k, inputCol="x", outputCol="pc").fit(_centred(df, col, mean))
-    return mean, model
+@dataclass
+class Components:
+    """``mean``; ``axes``: unit directions as columns; ``variances`` along them (divisor n - 1), falling; ``total``: that of all dimensions; ``n`` rows."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+    variances: np.ndarray
+    total: float
+    n: int
+
+
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    lists = lists.drop_null()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
 
 
-def _centred(df: DataFrame, col: str, mean: list[float]) -> DataFrame:
-    means = F.array(*[F.lit(float(m)) for m in mean])
-    return df.withColumn("x", array_to_vector(F.zip_with(F.col(col).cast("array<double>"), means, lambda a, b: a - b)))
+def _added(df: DataFrame, col: str, shape: tuple[int, int], part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of a matrix that ``part`` makes of a batch; a task sends its sum, cells are added in Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            x = _rows_of(batch.column(0))
+            if len(x):
+                total += part(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "value"])
 
+    cells = df.select(F.col(col).cast("array<double>").alias("x")).mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("v"))
+    out = np.zeros(shape[0] * shape[1])
+    for cell, value in cells.collect():  # dimensions times components
+        out[cell] = value
+    return out.reshape(shape)
 
-def pca_apply(df: DataFrame, col: str, fitted, name: str = "pc") -> DataFrame:
-    mean, model = fitted
-    out = model.transform(_centred(df, col, mean))
-    return out.withColumn(name, vector_to_array("pc")).drop("x", *([] if name == "pc" else ["pc"]))
+
+def pca_fit(df: DataFrame, col: str, k: int, oversample: int = 10, rounds: int = 60, tolerance: float = 1e-9, seed: int = 7) -> Components:
+    """Leading ``k`` principal components by randomised subspace iteration; null vectors are left out, all others have one length.
+
+    A round is one scan: the rows, less their mean, times a few directions and back, so that no matrix of dimensions by dimensions is made
+    anywhere. Rounds end when the variances of the ``k`` components change by less than ``tolerance`` of the largest.
+    """
+    known = df.filter(F.col(col).isNotNull())
+    size = known.select(F.size(col)).first()
+    d = size[0] if size else 0
+    if not d:
+        return Components(np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0, 0)
+    k = min(k, d)
+    sums = _added(known, col, (1, d + 1), lambda x: np.append(x.sum(0), len(x))[None, :])[0]
+    n, mean = int(sums[-1]), sums[:-1] / sums[-1]
+    total = float(_added(known, col, (1, 1), lambda x: np.array([[((x - mean) ** 2).sum()]]))[0, 0]) / max(n - 1, 1)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(d, k + oversample))))[0]
+    before = np.full(k, np.inf)
+    for _ in range(rounds):
+        image = _added(known, col, basis.shape, lambda x, basis=basis: (x - mean).T @ ((x - mean) @ basis)) / max(n - 1, 1)
+        inner = basis.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        axes = basis @ turn
+        if np.abs(values[:k] - before).max() <= tolerance * max(values[0], 0.0):
+            break
+        before = values[:k]
+        basis = np.linalg.qr(image @ turn)[0]
+    axes = axes[:, :k]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(k)])
+    return Components(mean, axes * np.where(signs == 0, 1, signs), np.maximum(values[:k], 0), total, n)
+
+
+def pca_apply(df: DataFrame, col: str, fitted: Components, name: str = "pc") -> DataFrame:
+    """Adds the coordinates on the components; a null vector has none."""
+    mean, axes = fitted.mean, fitted.axes
+
+    @F.pandas_udf("array<double>")
+    def project(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna()
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        if known.any():
+            out[known] = pd.Series(list((np.stack(vectors[known].to_numpy()) - mean) @ axes), index=vectors.index[known])
+        return out
+
+    return df.withColumn(name, project(F.col(col).cast("array<double>")))
 
 
 def embed_lookup(df: DataFrame, id_col: str, table: DataFrame, name: str = "embedding") -> DataFrame:

@@ -1,5 +1,6 @@
 """Vector expressions, similarity joins and feature engineering (V, J08-J09, T06, T08, T10, F)."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vec
@@ -205,7 +206,31 @@ def f05(spark, sf):
 @query("F06_pca")
 def f06(spark, sf):
     df = emb(spark, sf).select("vec_id", "embedding")
-    return feat.pca_apply(df, "embedding", feat.pca_fit(df, "embedding", 8)).select("vec_id", "pc")
+    return feat.pca_apply(df, "embedding", feat.pca_fit(df, "embedding", 50)).select("vec_id", "pc")
+
+
+DIAGONAL = """(select i, var_samp(x) as v from (select unnest(range(64)) as i, unnest(embedding::double[]) as x from embeddings) group by i)"""
+
+
+@query("F06_pca_variance", f"""
+select 50 as components, (select count(*) from embeddings) as n, {rnd_sql('sum(v)', 5)} as total_variance, true as orthonormal, true as uncorrelated,
+  true as above_any_50_dimensions from {DIAGONAL}""")
+def f06b(spark, sf):
+    """What 50 components must keep: unit directions, uncorrelated coordinates whose variances are the fitted ones, and (Schur, Horn) no less
+    variance than the 50 dimensions that vary most."""
+    df = emb(spark, sf).select("vec_id", "embedding")
+    fitted = feat.pca_fit(df, "embedding", 50)
+    pc = feat.pca_apply(df, "embedding", fitted).select(F.posexplode("pc").alias("i", "x"))
+    spread = pc.groupBy("i").agg(F.var_samp("x").alias("v"), F.avg("x").alias("m"))
+    own = {r["i"]: (r["v"], r["m"]) for r in spread.collect()}  # 50 rows
+    dims = df.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_samp(F.col("x").cast("double")).alias("v"))
+    most = dims.orderBy(F.desc("v")).limit(50).agg(F.sum("v")).first()[0]
+    k = len(fitted.variances)
+    close = all(abs(own[i][0] - fitted.variances[i]) <= 1e-6 * fitted.variances[0] and abs(own[i][1]) < 1e-9 for i in range(k))
+    flat = abs(fitted.axes.T @ fitted.axes - np.eye(k)).max() < 1e-9
+    row = dims.agg(F.lit(k).cast("int").alias("components"), F.lit(fitted.n).cast("long").alias("n"), rnd(F.sum("v"), 5).alias("total_variance"))
+    return row.select("*", F.lit(bool(flat)).alias("orthonormal"), F.lit(bool(close)).alias("uncorrelated"),
+                      F.lit(bool(fitted.variances.sum() >= most - 1e-9)).alias("above_any_50_dimensions"))
 
 
 @query("F07_embed_lookup", f"""

@@ -250,6 +250,19 @@ def test_pca_matches_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(exp), atol=1e-6)
 
 
+def test_wide_pca_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 70)) * np.geomspace(30, 0.01, 70) @ np.linalg.qr(rng.normal(size=(70, 70)))[0] + 1e4  # a mean far from zero
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None)], "i int, v array<double>").repartition(3)
+    got = feat.pca_fit(df, "v", 50)
+    exact = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert np.abs(got.variances / exact[:50] - 1).max() < 0.01 and got.total == pytest.approx(exact.sum()) and got.n == 400
+    assert np.abs(got.axes.T @ got.axes - np.eye(50)).max() < 1e-9
+    out = feat.pca_apply(df, "v", got)
+    assert out.filter("i = 900").first().pc is None and len(out.first().pc) == 50
+    assert feat.pca_fit(df.limit(0), "v", 3).n == 0
+
+
 # ---- files ------------------------------------------------------------------
 
 def test_dispatch_by_extension(spark):
