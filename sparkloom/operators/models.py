@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
@@ -23,8 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 from sparkloom.operators.features import assemble_xy, label_encode, minmax_apply, minmax_fit
+from sparkloom.operators.ordered import with_ordinal
 from sparkloom.operators.sampling import unit_hash
 from sparkloom.operators.similarity import similar_topk
+from sparkloom.operators.skew import dimension_join
+from sparkloom.runtime import cut_lineage
 
 
 @contextmanager
@@ -164,25 +168,104 @@ def load_or_fit(path: str, load: Callable, fit: Callable):
 
 # ---- recommenders -----------------------------------------------------------
 
+@dataclass
+class Recommender:
+    """Stored factors by the callers' own 64-bit ids, with the mean ratings that speak for whoever has none."""
+
+    user: str
+    item: str
+    rating: str
+    rank: int
+    reg: float
+    user_factors: DataFrame  # (user, features)
+    item_factors: DataFrame
+    user_means: DataFrame  # (user, mean)
+    item_means: DataFrame
+    mean: float | None
+
+
+def _numbered(ratings: DataFrame, col: str) -> DataFrame:
+    """(id, place): the distinct ids in order with whole numbers from 0 on, which is what the solver takes; stored."""
+    ids = ratings.select(F.col(col).cast("bigint").alias("id")).filter("id is not null").distinct()
+    return cut_lineage(with_ordinal(ids, ["id"], name="rn", derived=True).select("id", (F.col("rn") - 1).cast("int").alias("place")))
+
+
 def fit_als(ratings: DataFrame, user: str = "user_id", item: str = "movie_id", rating: str = "rating", rank: int = 10,
-            reg: float = 0.1, iterations: int = 10, seed: int = 7):
-    ids = ratings.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col(rating).cast("float"))
-    return _fit(ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, regParam=reg, maxIter=iterations, seed=seed,
-                    coldStartStrategy="drop", checkpointInterval=5), ids)
+            reg: float = 0.1, iterations: int = 10, seed: int = 7) -> Recommender:
+    """Factors of all users and items; rows with a null are left out."""
+    known = ratings.select(F.col(user).cast("bigint").alias("u"), F.col(item).cast("bigint").alias("i"), F.col(rating).cast("float").alias("r")).dropna()
+    users, items = _numbered(known, "u"), _numbered(known, "i")
+    triples = known.join(users.toDF("u", "pu"), "u").join(items.toDF("i", "pi"), "i").select("pu", "pi", "r")
+    model = _fit(ALS(userCol="pu", itemCol="pi", ratingCol="r", rank=rank, regParam=reg, maxIter=iterations, seed=seed, checkpointInterval=5), triples)
+
+    def named(factors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(factors.withColumnRenamed("id", "place").join(ids, "place").select(F.col("id").alias(name), "features"))
+
+    def means(col: str, name: str) -> DataFrame:
+        return cut_lineage(known.groupBy(F.col(col).alias(name)).agg(F.avg("r").alias("mean")))
+
+    return Recommender(user, item, rating, rank, reg, named(model.userFactors, users, user), named(model.itemFactors, items, item),
+                       means("u", user), means("i", item), known.agg(F.avg("r")).first()[0])
+
 
+def fold_in(fitted: Recommender, ratings: DataFrame, items: bool = False) -> Recommender:
+    """The recommender with factors for users (or ``items``) that were not in training, from their ratings of what was; nothing is trained anew.
 
-def predict_ratings(model, pairs: DataFrame, classes: int = 5) -> DataFrame:
-    """Predicted rating and its class 0..classes-1 by rounding."""
-    out = model.transform(pairs)
+    Their normal equations against the stored factors are added up in one grouped pass, every batch its own first, so that one with a third of all
+    ratings is a few rows by then. Ratings with a null or of unknown items teach nothing; who has factors already keeps them.
+    """
+    new, other = (fitted.item, fitted.user) if items else (fitted.user, fitted.item)
+    own, against = (fitted.item_factors, fitted.user_factors) if items else (fitted.user_factors, fitted.item_factors)
+    rank, reg = fitted.rank, fitted.reg
+    upper = np.triu_indices(rank)
+    width = len(upper[0]) + rank
+    rows = ratings.select(F.col(new).cast("bigint").alias(new), F.col(other).cast("bigint").alias(other), F.col(fitted.rating).cast("double").alias("r")).dropna()
+    rows = rows.join(own.select(new), new, "left_anti").join(against, other).select(new, "r", "features")
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                ids, place = np.unique(pdf[new].to_numpy(), return_inverse=True)
+                f = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+                sums = np.zeros((len(ids), width))
+                np.add.at(sums, place, np.column_stack([f[:, upper[0]] * f[:, upper[1]], f * pdf["r"].to_numpy()[:, None]]))
+                yield pd.DataFrame({new: ids, "sums": list(sums), "n": np.bincount(place)})
+
+    parts = rows.mapInPandas(add_up, f"`{new}` bigint, sums array<double>, n bigint")
+    whole = parts.groupBy(new).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"), F.sum("n").alias("n"))
+
+    @F.pandas_udf("array<float>")
+    def solve(sums: pd.Series, n: pd.Series) -> pd.Series:
+        s = np.stack(sums.to_numpy()) if len(sums) else np.zeros((0, width))
+        a = np.zeros((len(s), rank, rank))
+        a[:, upper[0], upper[1]] = a[:, upper[1], upper[0]] = s[:, :-rank]
+        a += (reg * n.to_numpy())[:, None, None] * np.eye(rank)
+        return pd.Series(list(np.linalg.solve(a, s[:, -rank:, None])[:, :, 0].astype(np.float32)))
+
+    more = cut_lineage(own.unionByName(whole.select(new, solve("sums", "n").alias("features"))))
+    return replace(fitted, item_factors=more) if items else replace(fitted, user_factors=more)
+
+
+def predict_ratings(fitted: Recommender, pairs: DataFrame, classes: int = 5) -> DataFrame:
+    """Predicted rating and its class 0..classes-1 by rounding, for every pair.
+
+    The product of the factors where both sides have some; else the mean of the item's ratings, of the user's, or of all.
+    """
+    user, item = fitted.user, fitted.item
+    sides = [(fitted.user_factors, user, "features", "__fu"), (fitted.item_factors, item, "features", "__fi"),
+             (fitted.item_means, item, "mean", "__mi"), (fitted.user_means, user, "mean", "__mu")]
+    out = pairs
+    for table, key, value, name in sides:
+        out = dimension_join(out, table.select(key, F.col(value).alias(name)), key, "left")
+    product_ = F.aggregate(F.zip_with("__fu", "__fi", lambda a, b: a * b), F.lit(0).cast("float"), lambda a, x: a + x)
+    guess = F.coalesce(product_.cast("double"), F.col("__mi"), F.col("__mu"), F.lit(fitted.mean).cast("double")).cast("float")
+    out = out.withColumn("prediction", guess).drop("__fu", "__fi", "__mi", "__mu")
     return out.withColumn("rating_class", F.greatest(F.least(F.bround("prediction") - 1, F.lit(classes - 1)), F.lit(0)).cast("int"))
 
 
-def recommend(model, n: int) -> DataFrame:
+def recommend(fitted: Recommender, n: int) -> DataFrame:
     """Top n items per user by the product of their factors, one row each."""
-    user, item = model.getUserCol(), model.getItemCol()
-    users = model.userFactors.select(F.col("id").alias(user), "features")
-    items = model.itemFactors.select(F.col("id").alias(item), "features")
-    return similar_topk(users, items, n, "dot", "features", user, item)
+    return similar_topk(fitted.user_factors, fitted.item_factors, n, "dot", "features", fitted.user, fitted.item)
 
 
 # ---- batches ----------------------------------------------------------------

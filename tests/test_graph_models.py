@@ -179,17 +179,40 @@ def test_mixed_regressor(spark):
 def test_recommender(spark):
     rng = np.random.default_rng(8)
     u, v = rng.random((20, 2)) + 0.5, rng.random((15, 2)) + 0.5
-    rows = [(i, j, float(np.clip(np.round(u[i] @ v[j] * 1.2), 1, 5))) for i in range(20) for j in range(15)]
-    r = spark.createDataFrame(rows, "user_id int, movie_id int, rating double")
+    far = 1 << 40  # ids beyond 32 bits
+    rows = [(far + i, far + j, float(np.clip(np.round(u[i] @ v[j] * 1.2), 1, 5))) for i in range(20) for j in range(15)]
+    r = spark.createDataFrame(rows, "user_id bigint, movie_id bigint, rating double").cache()
     model = mdl.fit_als(r, rank=3, reg=0.01)
     pred = mdl.predict_ratings(model, r)
+    assert pred.count() == len(rows)
     mean = r.agg(F.avg("rating")).first()[0]
     rmse, base = pred.select(F.sqrt(F.avg((F.col("rating") - F.col("prediction")) ** 2)), F.sqrt(F.avg((F.col("rating") - mean) ** 2))).first()
     assert rmse < 0.7 * base and pred.filter("rating_class not between 0 and 4").count() == 0
     ours = {(x.user_id, x.rank): x.score for x in mdl.recommend(model, 3).collect()}
-    ref = {(x.user_id, i + 1): p.rating for x in model.recommendForAllUsers(3).collect() for i, p in enumerate(x.recommendations)}
+    fu = {x.user_id: np.array(x.features) for x in model.user_factors.collect()}
+    fi = {x.movie_id: np.array(x.features) for x in model.item_factors.collect()}
+    assert len(fu) == 20 and len(fi) == 15
+    ref = {(i, k + 1): s for i, f in fu.items() for k, s in enumerate(sorted((f @ g for g in fi.values()), reverse=True)[:3])}
     assert ours.keys() == ref.keys() and all(ours[k] == pytest.approx(ref[k], abs=1e-4) for k in ref)
 
+    # New users: the ratings of trained ones under other ids must give the same factors; one with few, one with none that count.
+    again = r.filter("rating is not null").withColumn("user_id", F.col("user_id") + 1000)
+    some = spark.createDataFrame([(7, far, 5.0), (7, far + 3, 1.0), (8, 5, 4.0), (9, None, 3.0), (far, far + 2, 1.0)], r.schema)
+    wider = mdl.fold_in(model, again.unionByName(some).repartition(3))
+    new = {x.user_id: np.array(x.features) for x in wider.user_factors.collect()}
+    assert new.keys() == fu.keys() | {i + 1000 for i in fu} | {7} and np.allclose(new[far], fu[far])
+    assert all(np.allclose(new[i + 1000], fu[i], atol=1e-4) for i in fu)
+    m = np.stack([fi[far], fi[far + 3]])
+    assert np.allclose(new[7], np.linalg.solve(m.T @ m + 0.01 * 2 * np.eye(3), m.T @ [5.0, 1.0]), atol=1e-4)
+    items = mdl.fold_in(model, r.withColumn("movie_id", F.col("movie_id") - 7), items=True)
+    assert items.item_factors.count() == 15 + 7
+
+    asked = spark.createDataFrame([(7, far), (8, far), (far, 5), (8, 5), (None, None)], "user_id bigint, movie_id bigint")
+    got = {(x.user_id, x.movie_id): x.prediction for x in mdl.predict_ratings(wider, asked).collect()}
+    by_item, by_user = r.filter(F.col("movie_id") == far).agg(F.avg("rating")).first()[0], r.filter(F.col("user_id") == far).agg(F.avg("rating")).first()[0]
+    assert got == {(7, far): pytest.approx(new[7] @ fi[far], abs=1e-4), (8, far): pytest.approx(by_item), (far, 5): pytest.approx(by_user),
+                   (8, 5): pytest.approx(mean), (None, None): pytest.approx(mean)}
+
 
 def test_batches(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "i int, v array<double>")
