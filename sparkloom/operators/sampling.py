@@ -6,9 +6,12 @@ partitioning, and uniform, so equal ranges of the digest are equal work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.operators.ordered import BUCKET, hash_bucket, running_sums, with_ordinal
+from sparkloom.runtime import cut_lineage
 
 
 def digest(key: str | list[str], seed: int) -> Column:
@@ -21,12 +24,33 @@ def unit_hash(key: str | list[str], seed: int) -> Column:
     return F.conv(F.substring(digest(key, seed), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+HEAVY_ROWS, HEAVY_SHARE = 250_000, 1000  # a heavy group has more rows than either bound says
+
+
+def _heavy_groups(df: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of more than ``HEAVY_ROWS`` rows and a thousandth of all: fewer than a thousand, whatever the number of groups."""
+    counts = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__c")))
+    total = counts.agg(F.sum("__c")).first()[0] or 0
+    return counts.filter(F.col("__c") > max(HEAVY_ROWS, total // HEAVY_SHARE)).select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(by)])
+
+
 def hash_ordinal(df: DataFrame, key: str | list[str], seed: int, by: list[str] = (), name: str = "__rn",
                  total: str | None = None) -> DataFrame:
-    """Row number in digest order, overall or per group."""
+    """Row number in digest order, overall or per group.
+
+    Groups are counted first. Only heavy ones are cut into ranges of the digest; all others are ranked whole where they are hashed to, so the
+    table of totals has one row for each group and, for the few heavy ones, one for each range.
+    """
     keys = [key] if isinstance(key, str) else key
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__digest", digest(keys, seed)).withColumn(BUCKET, hash_bucket("__digest", buckets))
+    keyed = df.withColumn("__digest", digest(keys, seed))
+    bucket = hash_bucket("__digest", buckets)
+    if by:
+        heavy = _heavy_groups(df, list(by)).withColumn("__heavy", F.lit(True))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(by)])
+        keyed = keyed.join(F.broadcast(heavy), same, "left").drop(*[f"__h{i}" for i in range(len(by))])
+        bucket = F.when(F.col("__heavy"), bucket).otherwise(F.lit(0))
+    keyed = keyed.withColumn(BUCKET, bucket).drop("__heavy")
     return with_ordinal(keyed, ["__digest", *keys], by, name, bucketed=True, total=total).drop("__digest")
 
 

@@ -1,5 +1,7 @@
 """Relational, statistics, sampling, metrics and file operators on small frames with edge rows."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,20 @@ def test_splits_cover_and_do_not_overlap(classes):
     assert smp.sample_n(classes, 10, "id", 1).count() == 10
 
 
+@pytest.mark.parametrize("heavy", [250_000, 50])
+def test_ordinals_of_many_and_of_heavy_groups(spark, monkeypatch, heavy):
+    """Two heavy groups, one of them null, beside many small ones; only the heavy ones are cut into ranges."""
+    monkeypatch.setattr(smp, "HEAVY_ROWS", heavy)
+    group = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("g"), F.col("id")))
+    df = spark.range(1500).select("id", group.alias("c"))
+    assert smp._heavy_groups(df, ["c"]).count() == (2 if heavy == 50 else 0)
+    got = smp.hash_ordinal(df, "id", 5, ["c"], name="rn", total="n").toPandas()
+    got["d"] = [hashlib.md5(f"{i}|5".encode()).hexdigest() for i in got["id"]]
+    want = got.sort_values(["d", "id"]).groupby("c", dropna=False).cumcount() + 1
+    assert (want.sort_index() == got["rn"]).all() and (got.groupby("c", dropna=False)["id"].transform("size") == got["n"]).all()
+    assert {r.n for r in smp.stratified_split(df, "c", 0.2, "id", 5).groupBy("c", "split").agg(F.count("*").alias("n")).filter("split = 'test'").collect()} == {100}
+
+
 def test_user_holdout(spark):
     df = spark.createDataFrame([(u, t) for t in range(30) for u in range(4)], "u int, t int")
     one = smp.user_holdout(df, "u", ["t", "u"], 1, 10)
