@@ -161,11 +161,15 @@ def first_seen_vocab(df: DataFrame, tokens: str, order_by: list[str]) -> DataFra
     """``<PAD>`` = 0, ``<UNK>`` = 1, words from 3 on in order of first appearance."""
     seen = first_seen(df, tokens, order_by)
     ids = with_ordinal(seen, [f"first_{c}" for c in [*order_by, "pos"]], name="id", derived=True)
+    # Names and numbers of the special tokens.
     fixed = df.sparkSession.createDataFrame([("<PAD>", 0), ("<UNK>", 1)], "word string, id bigint")
     return ids.select("word", (F.col("id") + 2).alias("id")).unionByName(fixed)
 
 
-def set_vocab(df: DataFrame, tokens: str, specials: tuple[str, ...] = ("[PAD]", "[SEP]", "[CLS]", "[UNK]")) -> DataFrame:
+SPECIALS = ("[PAD]", "[SEP]", "[CLS]", "[UNK]")  # fixed values
+
+
+def set_vocab(df: DataFrame, tokens: str, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """Distinct words and special tokens, 0-based ids in sorted order."""
     extra = df.sparkSession.createDataFrame([(s,) for s in specials], "word string")
     all_words = distinct_words(df, tokens).unionByName(extra).distinct()

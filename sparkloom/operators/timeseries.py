@@ -246,8 +246,10 @@ def ses(df: DataFrame, by: list[str], t: str, y: str, alpha: float) -> DataFrame
 
     The first observation starts the level. An old level fades by (1 - alpha) per
     row, so a block that first reads enough earlier rows gets the same doubles as
-    the whole series would give; no series is held in one place.
+    the whole series would give; no series is held in one place. ``alpha`` lies above 0, up to 1.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must lie above 0 and not above 1")
     reach = 1 if alpha >= 1 else int(ceil(log(1e-18) / log(1.0 - alpha)))
     blocks = with_blocks(df.select(*by, t, y), [t], by, reach, max(50_000, 10 * reach))
 

@@ -173,3 +173,10 @@ def test_future_frame_and_segments(series):
     assert len(seg) == -(-N // 24) and len(seg[-1]["values"]) == N % 24
     assert ts.segment_series(df, ["k"], ["t"], "y", 24, drop_last=True).filter("k = 'ar'").count() == N // 24
     assert seg[1]["values"] == [float(v) for v in data["ar"][24:48]]
+
+
+def test_smoothing_refuses_an_alpha_outside_its_range(spark):
+    df = spark.createDataFrame([("a", 1, 1.0)], "k string, t int, y double")
+    for alpha in (0.0, -0.5, 1.5):
+        with pytest.raises(ValueError, match="alpha"):
+            ts.ses(df, ["k"], "t", "y", alpha)
