@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import text as tx
 from sparkloom.functions.stem import porter
@@ -19,6 +20,9 @@ from sparkloom.operators.skew import dimension_join, fits_broadcast
 from sparkloom.runtime import cut_lineage
 
 
+DOCUMENTS_AT_ONCE = 128
+
+
 # ---- words of a corpus ------------------------------------------------------
 
 def word_counts(df: DataFrame, tokens: str) -> DataFrame:
@@ -27,11 +31,18 @@ def word_counts(df: DataFrame, tokens: str) -> DataFrame:
 
 
 def per_document(fn: Callable, returns: str):
-    """Column function that applies ``fn`` to one array column; a document stays one row, so no text is moved. Null is empty."""
-    @F.pandas_udf(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Column function that applies ``fn`` to one array column; a document stays one row, so no text is moved. Null is empty.
+
+    Few documents at a time are Python objects, whatever the size of a batch.
+    """
+    kind = to_arrow_type(T.DataType.fromDDL(returns))
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arrays in batches:
-            yield pd.Series([fn([] if a is None else a) for a in arrays])
+            parts = [pa.array([fn([] if a is None else a) for a in arrays.slice(at, DOCUMENTS_AT_ONCE).to_pandas()], type=kind)
+                     for at in range(0, len(arrays), DOCUMENTS_AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
     return run
 

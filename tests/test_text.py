@@ -214,3 +214,13 @@ def test_lookup_sizes(spark):
     assert ops.small_lookup(table, "word", "id")() == {"a": 1, "b": 2}
     assert ops.small_lookup(table, "word", "id", max_rows=1) is None
     assert ops.small_lookup(spark.createDataFrame([("a" * 300, 1)], "word string, id bigint"), "word", "id") is None
+
+
+def test_few_documents_of_a_batch_are_objects_at_once(spark, monkeypatch):
+    monkeypatch.setattr(ops, "DOCUMENTS_AT_ONCE", 2)
+    rows = [(i, [f"w{i}", "a", None, "a"] if i % 3 else None) for i in range(7)]
+    df = spark.createDataFrame(rows, "k long, t array<string>").coalesce(1)
+    got = sorted(tuple(r) for r in ops.norm_freq(df, "k", "t").collect())
+    assert got == sorted(x for i in range(7) if i % 3 for x in [(i, f"w{i}", 1, 0.5), (i, "a", 2, 1.0)])
+    plan = ops.norm_freq(df, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("pythonUDF") and ops.per_document(len, "int").evalType != 204
