@@ -151,6 +151,21 @@ def test_classifiers(blobs):
     assert mdl.fit_naive_bayes(pos).transform(pos).filter("prediction is null").count() == 0
 
 
+def test_class_scores_as_columns_and_fits_at_once(spark, blobs, monkeypatch):
+    m = mdl.fit_boosted_trees(blobs, 3, 2, 3)
+    new, old = mdl.predict_classes(m, blobs), m.transform(blobs)
+    assert new.columns == [*blobs.columns, "prediction"]
+    both = [sorted(tuple(map(str, r)) for r in d.select("features", "label", "prediction").collect()) for d in (new, old)]
+    assert both[0] == both[1]
+    assert [mdl.fits_at_once(blobs, rows=n) for n in (100, 400, 10_000)] == [1, 2, 4]
+    seen = []
+    real = mdl.OneVsRest
+    monkeypatch.setattr(mdl, "fits_at_once", lambda kept: 1)
+    monkeypatch.setattr(mdl, "OneVsRest", lambda **named: seen.append(named["parallelism"]) or real(**named))
+    mdl.fit_boosted_trees(blobs, 3, 1, 1)  # a large table is fitted class by class
+    assert seen == [1]
+
+
 def test_text_classifier_and_multilabel(spark, blobs):
     rows = [(["good", "fine"], "pos")] * 20 + [(["bad", "poor"], "neg")] * 20
     df = spark.createDataFrame(rows, "tokens array<string>, target string")
