@@ -21,6 +21,7 @@ from sparkloom.runtime import cut_lineage
 
 
 DOCUMENTS_AT_ONCE = 128
+WORDS_AT_ONCE = 1 << 18
 
 
 # ---- words of a corpus ------------------------------------------------------
@@ -79,16 +80,27 @@ def coded(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows of every batch with about ``WORDS_AT_ONCE`` elements of its last column at a time, so that what is made of them
+    does not grow with a batch; a row with more is a slice by itself or ends one."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        before = (np.cumsum(sizes, dtype=np.int64) - sizes) // WORDS_AT_ONCE
+        starts = np.flatnonzero(np.diff(before, prepend=-1)).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 def element_wise(df: DataFrame, key: list[str], array: str | Column, change: Callable[[list], pa.Array], name: str, element: T.DataType,
                  keep_nulls: bool = False) -> DataFrame:
-    """(*key, name): every array element replaced by what ``change`` gives for the distinct ones of a batch; nulls it gives are left out or kept.
+    """(*key, name): every array element replaced by what ``change`` gives for the distinct ones of a slice; nulls it gives are left out or kept.
 
-    A row stays one row, and a word that occurs often costs one lookup for each batch.
+    A row stays one row, and a word that occurs often costs one lookup for each slice.
     """
     schema = T.StructType([*df.select(*key).schema.fields, T.StructField(name, T.ArrayType(element))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ends, codes, distinct = coded(batch.column(batch.num_columns - 1))
             new = change(distinct.to_pylist())
             kept = new.is_valid().to_numpy(zero_copy_only=False)[codes] | keep_nulls if len(codes) else np.empty(0, dtype=bool)
@@ -340,7 +352,7 @@ def tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_df: float =
         schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_slices(batches):
                 ends, codes, terms = coded(batch.column(1))
                 known = np.array([idf().get(w, np.nan) for w in terms.to_pylist()], dtype=np.float64)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(ends))

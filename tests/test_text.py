@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,18 @@ def test_few_documents_of_a_batch_are_objects_at_once(spark, monkeypatch):
     assert got == sorted(x for i in range(7) if i % 3 for x in [(i, f"w{i}", 1, 0.5), (i, "a", 2, 1.0)])
     plan = ops.norm_freq(df, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and plan.count("pythonUDF") and ops.per_document(len, "int").evalType != 204
+
+
+def test_few_words_of_a_batch_are_looked_up_at_once(spark, monkeypatch):
+    monkeypatch.setattr(ops, "WORDS_AT_ONCE", 3)
+    lists = [["a", "b"], None, ["c"], [], ["a", None, "x", "b", "c", "a", "b"], ["b"], None, ["c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], names=["k", "t"])
+    slices = list(ops.in_slices(iter([batch, batch.slice(0, 0)])))
+    assert len(slices) > 2 and sum((s["k"].to_pylist() for s in slices), []) == list(range(8))
+    assert sum((s["t"].to_pylist() for s in slices), []) == lists
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, t array<string>").coalesce(1)
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, id bigint")
+    ids = [[{"a": 1, "b": 2, "c": 3}.get(w, 9) for w in t or []] for t in lists]
+    assert [r.ids for r in ops.encode_tokens(df, ["k"], "t", vocab, 9).orderBy("k").collect()] == ids
+    weights = ops.tfidf(df, "k", "t", vocab=spark.createDataFrame([("a", 1.0), ("c", 2.0)], "term string, idf double")).collect()
+    assert {(r.k, r.term): round(r.weight, 6) for r in weights} == {(0, "a"): 1.0, (2, "c"): 1.0, (4, "a"): 0.707107, (4, "c"): 0.707107, (7, "c"): 1.0}
