@@ -229,6 +229,28 @@ def test_recommender(spark):
                    (8, 5): pytest.approx(mean), (None, None): pytest.approx(mean)}
 
 
+def test_recommender_reads_ratings_once_and_joins_each_side_once(spark):
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(8)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    schema = "user_id bigint, movie_id bigint, rating double"
+    model = mdl.fit_als(spark.createDataFrame([*rows, (None, 1, 2.0)], schema).mapInPandas(counted, schema), rank=3, iterations=2)
+    assert read.value == len(rows) + 1
+    asked = spark.createDataFrame([(3, 4), (3, 4), (99, 4), (3, 99), (None, 4), (99, 99)], "user_id bigint, movie_id bigint")
+    pred = mdl.predict_ratings(model, asked)
+    assert pred._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    fu = {x.user_id: np.array(x.features) for x in model.user_factors.collect()}
+    fi = {x.movie_id: np.array(x.features) for x in model.item_factors.collect()}
+    of_item, of_user = np.mean([r for _, i, r in rows if i == 4]), np.mean([r for u, _, r in rows if u == 3])
+    want = [fu[3] @ fi[4]] * 2 + [of_item, of_user, of_item, np.mean([r for *_, r in rows])]
+    assert sorted(x.prediction for x in pred.collect()) == pytest.approx(sorted(want), abs=1e-4)
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "i int, v array<double>")
     out = mdl.map_batches(df.select("i"), lambda p: p.assign(j=p["i"] * 2), "i int, j int")
