@@ -15,8 +15,18 @@ from sparkloom.llm.token_files import encoded_rows, with_start
 PIECES_IN_BATCH = 20_000
 
 
+def id_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and values of the ids of a batch: a list column, or one of packed 32-bit integers."""
+    if not pa.types.is_binary(column.type):
+        return column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1)
+    size = int(ends[-1])
+    return ends.astype(np.int64) // 4, np.frombuffer(data, dtype="<i4", count=size // 4) if size else np.empty(0, dtype="<i4")
+
+
 def boundary_records(placed: DataFrame, length: int, with_ids: bool = False) -> DataFrame:
-    """Pieces of rows (doc_id, start, ids): where each window of ``length`` begins or ends inside or between documents.
+    """Pieces of rows (doc_id, start, ids; a list or packed): where each window of ``length`` begins or ends inside or between documents.
 
     Output: doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
     """
@@ -28,8 +38,7 @@ def boundary_records(placed: DataFrame, length: int, with_ids: bool = False) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            ends, values, first = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            (ends, values), first = id_lists(batch.column(2)), batch.column(1).to_numpy().astype(np.int64)
             sizes = np.diff(ends)
             windows = np.where(sizes > 0, (first + sizes - 1) // length - first // length + 1, 0)
             total = np.cumsum(windows)
@@ -58,7 +67,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 2048, end_id: int =
     totals of the partitions before. The order is that of the scan, and no text is shuffled. Null and
     empty texts are one end id; repeated rows are documents of their own; an empty table gives no piece.
     """
-    return boundary_records(with_start(store(encoded_rows(documents, tokenizer, end_id), "packed-ids")), length, with_ids)
+    return boundary_records(with_start(store(encoded_rows(documents, tokenizer, end_id, packed=True), "packed-ids")), length, with_ids)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -24,14 +24,15 @@ FILE_OPTIONS = {
 }
 
 
-def encoded_rows(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encoded_rows(documents: DataFrame, tokenizer: str, end_id: int, packed: bool = False) -> DataFrame:
     """(doc_id, shard, local_start, n_tokens, ids) for the rows of ``documents`` in the order of each partition.
 
     ``shard`` is the partition, ``local_start`` the number of ids before the row in it. Null texts are empty; each row ends with ``end_id``.
+    ``packed`` ids are the bytes of little-endian 32-bit integers, which Spark moves as one value a row; else they are a list column.
     """
     id_type = documents.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("shard", T.IntegerType()), T.StructField("local_start", T.LongType()),
-                           T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+                           T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False))])
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,8 +41,8 @@ def encoded_rows(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame
             codes = [encode_text(t.as_py() or "") + end for t in batch.column(1)]
             sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                           pa.array(np.frombuffer(b"".join(codes), dtype="<i4")))
+            ids = pa.array(codes, type=pa.binary()) if packed else pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(codes), dtype="<i4")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.full(len(sizes), shard, dtype=np.int32)), pa.array(before + ends - sizes),
                  pa.array(sizes.astype(np.int32)), ids], names=schema.names)

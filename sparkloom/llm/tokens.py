@@ -11,12 +11,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 # White space beyond ASCII, which the byte pattern treats like a space, and the two split patterns
 # of the tokenizer files, here for ASCII and the letters of Latin-1.
 WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 BYTE_PARTS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 SPACE_RUN = re.compile(rb"[ \t-\r]{2}")
+WIDE_LEADS = b"\xc2", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"  # one of these begins each of them in UTF-8
+RARE_SPACES, SPACE_PAIRS = (b"\t", b"\x0b", b"\x0c", b"\r"), (b"  ", b"\n\n", b" \n", b"\n ")
 NARROW = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+", re.ASCII)
 WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+", re.ASCII)
@@ -30,11 +33,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_alphabet() -> dict[int, str]:
+def byte_alphabet() -> str:
     """Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     other = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(other)) for b in range(256)}
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
+
+
+def spaces_meet(data: bytes) -> bool:
+    """Whether two white spaces stand side by side."""
+    if any(c in data for c in RARE_SPACES):
+        return SPACE_RUN.search(data) is not None
+    return any(c in data for c in SPACE_PAIRS)
+
+
+def has_wide_space(text: str, data: bytes) -> bool:
+    return any(c in data for c in WIDE_LEADS) and WIDE_SPACE.search(text) is not None
 
 
 class Memo(dict):
@@ -68,35 +82,38 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.kind = "word" if "word" in os.path.basename(path) else "byte"
         self.pieces = WORD_PIECES if self.kind == "word" else BYTE_PIECES
         self.alphabet = byte_alphabet()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merged = Memo(self._merge, memo_words // 4)
         self.memo = Memo(self._part, memo_words)
-        self.spaced = Memo(lambda part: self._part(b" " + part), memo_words)
+        self.spaced = Memo(self._spaced, memo_words)
 
     def _lines(self, data: bytes) -> bytes:
         """Ids of a text of the byte kind in which no two white spaces meet: each word has its space, each line end is a piece."""
         out, end, memo, spaced = [], self.memo[b"\n"], self.memo, self.spaced.__getitem__
         for line in data.split(b"\n"):
             first, *others = line.split(b" ")
-            out += [memo[first], *map(spaced, others), end]
+            out.append(memo[first])
+            out.extend(map(spaced, others))
+            out.append(end)
         return b"".join(out[:-1])
 
-    def _merge(self, piece: str) -> bytes:
+    def _bytes(self, piece: bytes) -> bytes:
         """Ids of one piece of the split pattern."""
-        if piece.isascii() and piece[1:].isalnum():  # the alphabet changes nothing but a leading space
-            coded = "\u0120" + piece[1:] if piece[0] == " " else piece if "!" <= piece[0] <= "~" else piece.translate(self.alphabet)
-        else:
-            coded = piece.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(charmap_decode(piece, "strict", self.alphabet)[0])]).tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        return self._bytes(piece.encode())
+
+    def _spaced(self, part: bytes) -> bytes:
+        return self._bytes(b" " + part) if part.isalpha() else self._part(b" " + part)
 
     def _part(self, part: bytes) -> bytes:
         if part.isalpha() or part[:1] == b" " and part[1:].isalpha():  # one piece of ASCII letters
-            text = part.decode()
-            return self._merge(text.lower() if self.kind == "word" else text)
+            return self._bytes(part.lower() if self.kind == "word" else part)
         text = part.decode()
         if "<|" in text or not NARROW.fullmatch(text):
             return self.whole(text)
@@ -109,9 +126,9 @@ class TextEncoder:
         data = text.encode()
         if self.kind == "word":
             return b"".join(map(self.memo.__getitem__, data.split()))
-        if "<|" in text and any(s in text for s in self.special) or not text.isascii() and WIDE_SPACE.search(text):
+        if "<|" in text and any(s in text for s in self.special) or not text.isascii() and has_wide_space(text, data):
             return self.whole(text)
-        if SPACE_RUN.search(data):
+        if spaces_meet(data):
             return b"".join(map(self.memo.__getitem__, BYTE_PARTS.findall(data)))
         return self._lines(data)
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.llm import packing, token_counts, token_files
+from sparkloom.llm import packing, token_counts, token_files, tokens
 from sparkloom.llm.common import folder
 from sparkloom.llm.tokens import TextEncoder, tokenizer_path
 
@@ -113,5 +113,20 @@ def test_packing_is_gapless_and_whole(spark, odd_rows, no_rows, length):
     assert packing.pack(no_rows, tokenizer_path(name)).count() == 0
 
 
+def test_packed_ids_are_read_like_lists(spark, odd_rows):
+    rows = token_files.encoded_rows(odd_rows, tokenizer_path(NAMES[1]), 1, packed=True).select("ids").toArrow().column(0).combine_chunks()
+    lists = token_files.encoded_rows(odd_rows, tokenizer_path(NAMES[1]), 1).select("ids").toArrow().column(0).combine_chunks()
+    for packed, plain in [(rows, lists), (rows.slice(2, 3), lists.slice(2, 3)), (rows.slice(0, 0), lists.slice(0, 0))]:
+        ends, values = packing.id_lists(packed)
+        assert [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == plain.to_pylist()
+
+
+@pytest.mark.parametrize("text", ["", "a b\nc", "a  b", "a \nb", "a\tb", "a\t b", "a\x85b", "a b\u2003c", "\u00e9 b", "\u00a0", "\u3000x", "\u20ac 5"])
+def test_places_of_white_space_are_told_from_bytes(text):
+    data = text.encode()
+    assert tokens.spaces_meet(data) == bool(tokens.SPACE_RUN.search(data))
+    assert tokens.has_wide_space(text, data) == bool(tokens.WIDE_SPACE.search(text))
+
+
 def test_scratch_is_the_shared_folder(spark):
     assert folder(spark)
