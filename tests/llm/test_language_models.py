@@ -201,3 +201,32 @@ def test_count_keys_sums_over_blocks(spark, monkeypatch):
     rows = spark.range(0, 5000, 1, 3).selectExpr("id % 97 * 4294967296 + id % 3 as k")
     got = {r["key"]: r["n"] for r in ngrams.count_keys(rows, lambda b: b.column(0).to_numpy(), 5000, "t").collect()}
     assert got == {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+
+
+def test_held_columns_come_whole(spark):
+    rows = [(i * 7919 - 2 ** 40, None if i % 3 == 0 else i / 7) for i in range(5000)]
+    table = spark.createDataFrame(rows, "key long, hit double").repartition(40)
+    keys, hits = ngrams.held_columns(table, "t")
+    order = np.argsort(keys)
+    assert keys[order].tolist() == [k for k, _ in rows]
+    assert [None if np.isnan(h) else h for h in hits[order].tolist()] == [h for _, h in rows]
+    assert [len(c) for c in ngrams.held_columns(table.where("key is null"), "t")] == [0, 0]
+
+
+def test_filters_of_a_level_are_let_go(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    made, gone = [], []
+    start, end = type(spark.sparkContext).broadcast, Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(start(self, value)) or made[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(id(self)) or end(self, *a))
+    texts = [(i, " ".join(["one two three four five", "six seven eight"][i % 2:] * 3)) for i in range(60)]
+    scored = suffix_tree.score_documents(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert scored.count() == 60
+    assert len(made) - len(gone) <= 3  # word hashes, the held and the other n-grams
+
+
+def test_rare_keys_are_not_stored(spark):
+    rows = spark.createDataFrame([(x,) for x in [5] * 9 + [6] * 8 + [7] * 7], "v long").repartition(3)
+    got = ngrams.count_keys(rows, lambda b: b.column(0).to_numpy(), 24, "t", least=8)
+    assert sorted(map(tuple, got.collect())) == [(5, 9), (6, 8)]
