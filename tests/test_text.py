@@ -240,3 +240,14 @@ def test_few_words_of_a_batch_are_looked_up_at_once(spark, monkeypatch):
     assert [r.ids for r in ops.encode_tokens(df, ["k"], "t", vocab, 9).orderBy("k").collect()] == ids
     weights = ops.tfidf(df, "k", "t", vocab=spark.createDataFrame([("a", 1.0), ("c", 2.0)], "term string, idf double")).collect()
     assert {(r.k, r.term): round(r.weight, 6) for r in weights} == {(0, "a"): 1.0, (2, "c"): 1.0, (4, "a"): 0.707107, (4, "c"): 0.707107, (7, "c"): 1.0}
+
+
+def test_trigrams_are_counted_as_one_string(spark, tmp_path):
+    from sparkloom.plans.text import w07
+
+    texts = ["a b c a b c", "A b", "", None, "x_1 y2 zé, a b c!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = w07(spark, str(tmp_path))
+    assert "hashpartitioning(g#" in out._jdf.queryExecution().toString()
+    got = {(r["context"], r["target"]): r["n"] for r in out.collect()}
+    assert got == {("a b", "c"): 3, ("b c", "a"): 1, ("c a", "b"): 1, ("x_1 y2", "zé"): 1, ("y2 zé", "a"): 1, ("zé a", "b"): 1}
