@@ -230,3 +230,36 @@ def test_rare_keys_are_not_stored(spark):
     rows = spark.createDataFrame([(x,) for x in [5] * 9 + [6] * 8 + [7] * 7], "v long").repartition(3)
     got = ngrams.count_keys(rows, lambda b: b.column(0).to_numpy(), 24, "t", least=8)
     assert sorted(map(tuple, got.collect())) == [(5, 9), (6, 8)]
+
+
+def test_what_workers_hold_does_not_change_perplexities(spark):
+    rng = np.random.default_rng(4)
+    weights = 1 / np.arange(1, 121)
+    rows = [(i, " ".join([*rng.choice([f"{lang}word{j}" for j in range(120)], 60, p=weights / weights.sum()), f"once{i}"]), lang) for i, lang in enumerate(["en", "de"] * 80)]
+    rows += [(1000, "", "en"), (1001, None, "de"), (1002, "w1 w2", "xx"), (1003, "enword1 w2 enword1", "en"), (1003, "enword1 w2 enword1", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def judged(share):
+        return sorted((r["doc_id"], r["kept"], r["log_perplexity"] or 0, r["log_low_perplexity"] or 0) for r in kneser_ney.judge_documents(docs, share=share).collect())
+
+    held = judged(2.0 ** -20)  # all words and bigrams
+    assert len(held) == len(rows) and len({p for _, _, p, _ in held}) > 150
+    for share in (1 / 100, 1 / 20, 1 / 2):  # some words and bigrams, or hardly any
+        for got, want in zip(judged(share), held, strict=True):
+            assert got[:2] == want[:2] and got[2:] == pytest.approx(want[2:])
+    assert sorted(r["doc_id"] for r in kneser_ney.keep_fluent(docs, share=1 / 20).collect()) == [i for i, kept, *_ in held if kept]
+
+
+def test_a_word_stays_known_in_a_larger_corpus(spark):
+    few = [("aa bb " * 3, "en")] * 3  # nine of two hundred thousand: a share of 1 / 20 would need ten thousand
+    docs = spark.createDataFrame([("x y z " * 20, "en")] * 3300 + few, "text string, lang string")
+    model = kneser_ney.fit(docs, 1 / 20, 4, 50, 0.0)
+    seed = model.languages["en"]
+    known = {int(ngrams.find(model.words, np.array([ngrams.word_hash(w, seed)], dtype=np.uint64).view(np.int64))[0]) >= 0 for w in (b"aa", b"bb")}
+    assert known == {True} and model.rest is None
+    assert (model.price == 0).all()  # no word is unknown
+
+
+def test_held_least_leaves_no_room_unused(spark):
+    counts = spark.createDataFrame([(k,) for k in [1, 1, 4, 4, 5, 6, 6, 9, 500]], "n long")
+    assert [ngrams.held_least(counts, 1 / most, 536, 4) for most in (1, 2, 4, 5, 7, 100)] == [10, 7, 6, 5, 4, 4]
