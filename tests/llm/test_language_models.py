@@ -263,3 +263,18 @@ def test_a_word_stays_known_in_a_larger_corpus(spark):
 def test_held_least_leaves_no_room_unused(spark):
     counts = spark.createDataFrame([(k,) for k in [1, 1, 4, 4, 5, 6, 6, 9, 500]], "n long")
     assert [ngrams.held_least(counts, 1 / most, 536, 4) for most in (1, 2, 4, 5, 7, 100)] == [10, 7, 6, 5, 4, 4]
+
+
+def test_the_pipeline_keeps_the_same_texts_whatever_is_held(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    weights = 1 / np.arange(1, 101)
+    rows = [(i, " ".join([*rng.choice([f"plain{j}" for j in range(100)], 70, p=weights / weights.sum()), f"once{i}"]), "en", "src0") for i in range(120)]
+    rows += [(1000 + i, " ".join(f"odd{i}x{j}" for j in range(80)), "en", "src0") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    want = sorted(map(tuple, corpus_pipeline.quality_rules(spark, docs, "").collect()))
+    assert sum(r[0] < 1000 for r in want) >= 119 and not {r[0] for r in want} & {1000, 1001, 1002}
+    monkeypatch.setattr(kneser_ney, "HELD_WORDS", 2.0 ** -16)  # sixteen words
+    monkeypatch.setattr(kneser_ney, "HELD_PAIRS", 2.0 ** -15)
+    assert sorted(map(tuple, corpus_pipeline.quality_rules(spark, docs, "").collect())) == want
